@@ -1 +1,11 @@
-"""Dataset preparation on PySpark."""
+"""Dataset preparation on PySpark: declared in YAML or Python, planned by Catalyst."""
+
+from .functions.media import get_mm_plugin, register_mm_plugin
+from .functions.tokens import TokenizerSpec, load_tokenizer
+from .operators.base import Context, Processor
+from .operators.pipeline import apply_all, create_processor, register_processor
+from .plans.config import load_config
+from .plans.prepare import Prepared, load_datasets, prepare
+from .plans.strategies import load_strategy, register_strategy
+
+__all__ = ["Context", "Prepared", "Processor", "TokenizerSpec", "apply_all", "create_processor", "get_mm_plugin", "load_config", "load_datasets", "load_strategy", "load_tokenizer", "prepare", "register_mm_plugin", "register_processor", "register_strategy"]
