@@ -79,15 +79,18 @@ def encode(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-@F.pandas_udf("boolean")
-def _readable(data: pd.Series) -> pd.Series:
-    def ok(b):
-        try:
-            return b is not None and decode(b).size > 0
-        except Exception:  # whatever a damaged file makes a decoder do
-            return False
-
-    return data.map(ok)
+def _readable(data: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def readable(s: pd.Series) -> pd.Series:
+        def ok(b):
+            try:
+                return b is not None and decode(b).size > 0
+            except Exception:  # whatever a damaged file makes a decoder do
+                return False
+
+        return s.map(ok)
+
+    return readable(data)
 
 
 def image_ok(image: Column) -> Column:

@@ -57,7 +57,7 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float, same: b
     a = a.toDF("a", "m", "ha", "k")
     b = b.toDF("b", "n", "hb", "k")
     pairs = a.join(b, "k").where("a < b" if same else "true").where(F.lit(200.0) * F.least("m", "n") >= threshold * (F.col("m") + F.col("n")) - 1e-6)
-    bound = F.aggregate(F.zip_with("ha", "hb", F.least), F.lit(0), lambda x, y: x + y)
+    bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = pairs.where(F.lit(200.0) * bound >= threshold * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
     # verification is the costly part: spread the candidates evenly
     pairs = pairs.repartition(F.xxhash64("a", "b"))
@@ -80,8 +80,9 @@ def fuzzy_removed(rows: DataFrame, threshold: float, remove_exact: bool = True,
 
 def gram_sets(rows: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """(ROW_ID, grams, size): distinct grams, hashed; rows without any have no partner."""
-    grams = F.transform(ngrams(tokenizer.tokens(F.col("s")), n), lambda g: F.xxhash64(g))
-    sets = rows.where("s is not null").select(ROW_ID, F.array_distinct(grams).alias("grams"))
+    # tokens are a column of their own: inside a lambda they would be made again for each gram
+    tokens = rows.where("s is not null").select(ROW_ID, tokenizer.tokens(F.col("s")).alias("t"))
+    sets = tokens.select(ROW_ID, F.array_distinct(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g))).alias("grams"))
     return sets.withColumn("size", F.size("grams")).where("size > 0")
 
 
@@ -134,11 +135,11 @@ def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: floa
 
 def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """Rows that share a gram with an external text, whatever the threshold."""
-    theirs = external.where("s is not null").select(F.explode(ngrams(tokenizer.tokens(F.col("s")), n)).alias("g")).distinct()
+    grams_of = lambda df, *keep: df.where("s is not null").select(*keep, tokenizer.tokens(F.col("s")).alias("t")).select(*keep, F.explode(ngrams(F.col("t"), n)).alias("g"))
+    theirs = grams_of(external).distinct()
     if theirs.count() <= BROADCAST_ROWS * 10:  # else both sides are shuffled
         theirs = F.broadcast(theirs)
-    ours = rows.where("s is not null").select(ROW_ID, F.explode(ngrams(tokenizer.tokens(F.col("s")), n)).alias("g"))
-    return ours.join(theirs, "g", "left_semi").select(ROW_ID).distinct()
+    return grams_of(rows, ROW_ID).join(theirs, "g", "left_semi").select(ROW_ID).distinct()
 
 
 class Deduplicator(Processor):

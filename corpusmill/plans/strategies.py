@@ -53,7 +53,10 @@ def masked(ids: Column, n: Column) -> Column:
 def _with_ids(df: DataFrame, text: Column, spec: TokenizerSpec, most: int, prompt: Column | None = None, **how) -> DataFrame:
     df = df.withColumn("input_ids", tokenize(text, spec, most, **how))
     ids = F.col("input_ids")
-    labels = ids if prompt is None else masked(ids, F.size(tokenize(prompt, spec, most, add_eos=False)))
+    labels = ids
+    if prompt is not None:  # a column of its own: inside the lambda it would be made again for each id
+        df = df.withColumn("_n", F.size(tokenize(prompt, spec, most, add_eos=False)))
+        labels = masked(ids, F.col("_n"))
     # an empty text has no labels at all
     return df.withColumn("attention_mask", F.transform(ids, lambda x: F.lit(1))).withColumn("labels", F.when(F.size(ids) > 0, labels))
 
