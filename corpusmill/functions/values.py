@@ -52,6 +52,14 @@ def joined_text(df: DataFrame, fields: list[str]) -> Column | None:
     return F.when(reduce(lambda a, b: a | b, (p.isNotNull() for p in parts)), F.concat_ws(" ", *parts))
 
 
+def computed_once(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """Adds a column behind a generator, which the optimizer doesn't merge into later projections.
+
+    A costly array that a lambda refers to would else be made again for each element.
+    """
+    return df.select("*", F.explode(F.array(col)).alias(name))
+
+
 _PART = re.compile(r"^([^\[\]]*)(?:\[(-?\d+)\])?$")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions.tokens import TokenizerSpec, ngrams
-from ..functions.values import column
+from ..functions.values import column, computed_once
 from ..storage import Workspace
 from .base import ROW_ID, Processor, with_row_id
 
@@ -80,8 +80,7 @@ def fuzzy_removed(rows: DataFrame, threshold: float, remove_exact: bool = True,
 
 def gram_sets(rows: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """(ROW_ID, grams, size): distinct grams, hashed; rows without any have no partner."""
-    # tokens are a column of their own: inside a lambda they would be made again for each gram
-    tokens = rows.where("s is not null").select(ROW_ID, tokenizer.tokens(F.col("s")).alias("t"))
+    tokens = computed_once(rows.where("s is not null"), "t", tokenizer.tokens(F.col("s")))
     sets = tokens.select(ROW_ID, F.array_distinct(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g))).alias("grams"))
     return sets.withColumn("size", F.size("grams")).where("size > 0")
 
@@ -135,7 +134,7 @@ def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: floa
 
 def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """Rows that share a gram with an external text, whatever the threshold."""
-    grams_of = lambda df, *keep: df.where("s is not null").select(*keep, tokenizer.tokens(F.col("s")).alias("t")).select(*keep, F.explode(ngrams(F.col("t"), n)).alias("g"))
+    grams_of = lambda df, *keep: computed_once(df.where("s is not null"), "t", tokenizer.tokens(F.col("s"))).select(*keep, F.explode(ngrams(F.col("t"), n)).alias("g"))
     theirs = grams_of(external).distinct()
     if theirs.count() <= BROADCAST_ROWS * 10:  # else both sides are shuffled
         theirs = F.broadcast(theirs)

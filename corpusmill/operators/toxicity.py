@@ -68,11 +68,12 @@ def safety_tag(embedding: Column, neutral: list[list[float]], nsfw: list[list[fl
     norm = F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = F.array(*(F.array(*map(F.lit, r)) for r in matrix))
     dot = lambda row: F.aggregate(F.zip_with(row, embedding, lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    sims = F.transform(rows, lambda row, i: F.struct((-dot(row) / F.when(norm > 0, norm).otherwise(1.0)).alias("d"), i.alias("i")))
-    top = F.slice(F.array_sort(sims), 1, 2)
+    # of one embedding, products are ordered as cosines are
+    products = F.transform(rows, dot)
+    top = F.slice(F.array_sort(F.transform(products, lambda d, i: F.struct((-d).alias("d"), i.alias("i")))), 1, 2)
     first, last = len(neutral), len(neutral) + len(nsfw)
     hits = F.size(F.filter(top, lambda t: (t["i"] >= first) & (t["i"] < last)))
-    young = F.exists(F.slice(sims, last + 1, max(1, len(underage))), lambda t: -t["d"] > underage_threshold) if underage else F.lit(False)
+    young = F.array_max(F.slice(products, last + 1, max(1, len(underage)))) > underage_threshold * norm if underage else F.lit(False)
     return F.when(embedding.isNull(), None).when(hits == 0, "UNLIKELY").when(young, "UNDERAGE_RISK").when(hits == 2, "NSFW").otherwise("UNSURE")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.media import get_mm_plugin, placeholders_match
 from ..functions.prompts import build_prompt, chat_text, conversation_text
 from ..functions.tokens import TokenizerSpec
-from ..functions.values import column, field
+from ..functions.values import column, computed_once, field
 from ..operators.filters import size_within
 from ..operators.mapping import MESSAGES, first_truthy, messages_of
 
@@ -47,18 +47,15 @@ def tokenize(text: Column, spec: TokenizerSpec, most: int, add_eos: bool = True,
 
 def masked(ids: Column, n: Column) -> Column:
     """Labels: the first n ids are ignored."""
-    return F.transform(ids, lambda x, i: F.when(i < n, F.lit(IGNORE)).otherwise(x))
+    return F.concat(F.array_repeat(F.lit(IGNORE), F.least(n, F.size(ids))), F.slice(ids, n + 1, F.greatest(F.size(ids), F.lit(1))))
 
 
 def _with_ids(df: DataFrame, text: Column, spec: TokenizerSpec, most: int, prompt: Column | None = None, **how) -> DataFrame:
-    df = df.withColumn("input_ids", tokenize(text, spec, most, **how))
+    df = computed_once(df, "input_ids", tokenize(text, spec, most, **how))
     ids = F.col("input_ids")
-    labels = ids
-    if prompt is not None:  # a column of its own: inside the lambda it would be made again for each id
-        df = df.withColumn("_n", F.size(tokenize(prompt, spec, most, add_eos=False)))
-        labels = masked(ids, F.col("_n"))
+    labels = ids if prompt is None else masked(ids, F.size(tokenize(prompt, spec, most, add_eos=False)))
     # an empty text has no labels at all
-    return df.withColumn("attention_mask", F.transform(ids, lambda x: F.lit(1))).withColumn("labels", F.when(F.size(ids) > 0, labels))
+    return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(ids))).withColumn("labels", F.when(F.size(ids) > 0, labels))
 
 
 OUT = ("input_ids", "attention_mask", "labels")
@@ -149,13 +146,13 @@ def vision_language(spec: TokenizerSpec, cfg: dict, dataset: dict) -> Strategy:
             df = df.where(~((F.size("_raw") > 0) & (F.size("_images") == 0)))
         error = F.when(F.col("_m").isNull(), "missing question or answer").when(~placeholders_match(F.col("_m"), F.col("_images"), F.col("_videos"), F.col("_audios")), "placeholders and media differ in number")
         text = F.when(error.isNull(), conversation_text(plugin.process_messages(F.col("_m"))))
-        df = df.withColumn("_error", error).withColumn("_ids", F.coalesce(spec.ids(text), F.array().cast(NO_IDS)))
+        df = computed_once(df.withColumn("_error", error), "_ids", F.coalesce(spec.ids(text), F.array().cast(NO_IDS)))
         ids = F.slice("_ids", 1, most)
         none = F.col("_error").isNotNull()
         media = [F.when(none, F.slice(c, 1, 0)).otherwise(F.col(c)) for c in ("_images", "_videos", "_audios")]
         meta = F.struct(F.size("_ids").alias("original_length"), (F.size("_ids") > most).alias("truncated"), *(F.size(c).alias(n) for c, n in zip(("_images", "_videos", "_audios"), ("num_images", "num_videos", "num_audios"))), F.lit(name).alias("mm_plugin"), F.col("_error").alias("error"))
         keep = [c for c in dataset.get("keep_columns") or [] if c in df.columns]
-        return df.select(*keep, ids.alias("input_ids"), F.transform(ids, lambda x: F.lit(1)).alias("attention_mask"), ids.alias("labels"), *(m.alias(n) for m, n in zip(media, ("images", "videos", "audios"))), meta.alias("metadata"))
+        return df.select(*keep, ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), ids.alias("labels"), *(m.alias(n) for m, n in zip(media, ("images", "videos", "audios"))), meta.alias("metadata"))
 
     return run
 

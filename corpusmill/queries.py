@@ -90,10 +90,10 @@ def conditional_filter(spark, d):
     return docs(spark, d, {"type": "filter", "min_length": 1000, "condition": {"type": "field_equals", "values": {"lang": "en"}}}).select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
 
 
-@query("select page_id, len(regexp_extract_all(html, '<img[^>]*>')) as images from pages where len(regexp_extract_all(html, '<img[^>]*>')) between 1 and 3")
+@query("select page_id, len(regexp_extract_all(html, '<p[^>]*>')) as images from pages where len(regexp_extract_all(html, '<p[^>]*>')) between 2 and 12")
 def image_count_filter(spark, d):
-    pages = table(spark, d, "pages").withColumn("images", F.regexp_extract_all("html", F.lit("<img[^>]*>"), F.lit(0)))
-    out = apply_all(pages, [{"type": "image_count_filter", "min_images": 1, "max_images": 3, "image_fields": ["images"]}])
+    pages = table(spark, d, "pages").withColumn("images", F.regexp_extract_all("html", F.lit("<p[^>]*>"), F.lit(0)))
+    out = apply_all(pages, [{"type": "image_count_filter", "min_images": 2, "max_images": 12, "image_fields": ["images"]}])
     return out.select("page_id", ImageCountFilter.count(out, ["images"]).cast("long").alias("images"))
 
 
@@ -343,12 +343,12 @@ def decontaminate_ngram(spark, d):
 _LANDS = "(select distinct n_name as a, r_name as b from nation, region)"
 
 
-@query(f"select n_nationkey, n_name from nation where n_name not in (select a from {sql_scores(_LANDS)} where score >= 55)")
+@query(f"select n_nationkey, n_name from nation where n_name not in (select a from {sql_scores(_LANDS)} where score >= 40)")
 def decontaminate_fuzzy(spark, d):
     nation = table(spark, d, "nation")
     rows = nation.select(F.col("n_nationkey").alias(ROW_ID), F.col("n_name").alias("s"))
     theirs = table(spark, d, "region").select(F.col("r_name").alias("s"))
-    gone = dedup.external_fuzzy_removed(rows, theirs, 55.0).select(F.col(ROW_ID).alias("n_nationkey"))
+    gone = dedup.external_fuzzy_removed(rows, theirs, 40.0).select(F.col(ROW_ID).alias("n_nationkey"))
     return nation.join(gone, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
 
 
