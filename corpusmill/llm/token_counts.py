@@ -36,7 +36,8 @@ _CUT = re.compile(r"(?<=\S)[ \n]")
 
 #: What the query edits out: addresses, telephone numbers and licence lines, as a cleaning step would.
 EDITS = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<email>"),
+    # from the start of a run only, and without giving back: linear also in a run without an @
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<email>"),
     (r"\+?\d[\d ()-]{7,}\d", "<phone>"),
     (r"(?m)^(?:Licensed under|Released under|This work is licensed)[^\n]*\n?", ""),
 )

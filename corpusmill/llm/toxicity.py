@@ -54,7 +54,7 @@ def grams(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 15, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float = 0.02, l2: float = 1e-2, seed: int = 5) -> Model:
     size = 1 << BITS
     y = np.array([k for _, k in rows], float)
     if len(set(y)) < 2:
