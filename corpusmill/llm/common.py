@@ -7,10 +7,6 @@ text), never the batch; every text is still processed whole.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Workspace, shared_dir  # noqa: F401
+
 SLICE_BYTES = 2 << 20
 
 #: Unicode-free token count: runs of letters or digits, else single symbols.
@@ -34,42 +32,6 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a private one, on a local master only."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="corpusmill-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-class Workspace:
-    """Tables written to the shared folder, so that lost executors cost a re-read, not a recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        except Exception:  # the session has ended: its folder goes with it
-            pass
-
-
 # ------------------------------------------------------------------- batches
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its offsets, from 0; nulls are empty."""
