@@ -1,14 +1,16 @@
 """Packing, sharding, and the pipeline as a whole."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import decontamination, jaccard_join, language_id, packing, quality, queries, sharding
-from corpusmill.llm.common import TOKEN_PATTERN, table
+from corpusmill.llm.common import TOKEN_PATTERN, table, token_counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,11 +71,16 @@ def test_packing_is_whole(spark):
     assert used > 0.9 * room
 
 
+def test_token_counts():
+    texts = ["a b-c  d1\té\u00a0x", "", None, "9é", "_", " ", "a", "b\n\x0bc", "\U0001f600!!"]
+    assert token_counts(pa.array(texts)).tolist() == [len(re.findall("(?a)" + TOKEN_PATTERN, t)) if t else 0 for t in texts]
+
+
 def test_packing_of_nasty(nasty):
     got = packing.pack_documents(nasty).collect()
     assert {r["doc_id"] for r in got} == {1, 2, 3, None, 6, 7, 8, 9, 10, 11}
     assert sum(r["doc_id"] == 2 and r["piece"] == 0 for r in got) == 3
-    assert sum(r["tokens"] for r in got if r["doc_id"] == 9) == sum(1 for _ in __import__("re").finditer(TOKEN_PATTERN, nasty.where("doc_id = 9").first()["text"]))
+    assert sum(r["tokens"] for r in got if r["doc_id"] == 9) == sum(1 for _ in re.finditer(TOKEN_PATTERN, nasty.where("doc_id = 9").first()["text"]))
     assert packing.pack_documents(nasty.where("false")).count() == 0
 
 
