@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -94,110 +95,86 @@ class TokenTree:
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
-    def find(self, char: int) -> tuple[int, int]:
-        """The leaf that holds a character, and the leaf's start."""
-        k, start = 1, 0
+    def find(self, char: int) -> int:
+        """The leaf that holds a character; the last one for the text's end."""
+        k = 1
         while k < self.base:
             k *= 2
-            if char >= start + self.sums[k, 0] and self.sums[k + 1, 0] > 0:
-                start += int(self.sums[k, 0])
+            if char >= self.sums[k, 0] and self.sums[k + 1, 0] > 0:
+                char -= int(self.sums[k, 0])
                 k += 1
-        return k - self.base, start
+        return k - self.base
 
-    def tokens_before(self, leaf: int) -> int:
-        """Tokens of the leaves before one: a walk to the root."""
-        k, total = leaf + self.base, 0
+    def before(self, leaf: int) -> tuple[int, int]:
+        """Characters and tokens of the leaves before one: a walk to the root."""
+        k, chars, tokens = leaf + self.base, 0, 0
         while k > 1:
             if k % 2:
-                total += int(self.sums[k - 1, 1])
+                chars, tokens = chars + int(self.sums[k - 1, 0]), tokens + int(self.sums[k - 1, 1])
             k //= 2
-        return total
+        return chars, tokens
 
     def apply(self, edits: Iterable[Edit]) -> TokenTree:
         """Applies edits given in the coordinates of the present text."""
-        todo: list[list[int]] = []  # first leaf, its start, last leaf, its end, shift of the text before, after
-        pieces, at, shift = [], 0, 0
-        for a, b, new in sorted(edits, key=lambda e: (e[0], e[1])):
-            a, b = max(0, min(a, len(self.text))), max(0, min(b, len(self.text)))
-            if a < at or b < a:
-                continue
-            pieces += [self.text[at:a], new]
-            (lo, start), (hi, last) = self.find(a), self.find(max(a, b - 1))
-            end = last + int(self.sums[self.base + hi, 0])
-            grown = len(new) - (b - a)
-            if todo and lo <= todo[-1][2]:
-                todo[-1][2:4] = [max(hi, todo[-1][2]), max(end, todo[-1][3])]
-                todo[-1][5] += grown
-            else:
-                todo.append([lo, start, hi, end, shift, shift + grown])
-            at, shift = b, shift + grown
+        todo, pieces, grown, at = [], [], [0], 0
+        for a, b, new in sorted(edits, key=lambda e: e[:2]):
+            a, b = max(0, min(a, len(self.text))), min(b, len(self.text))
+            if at <= a <= b:
+                todo.append((a, b))
+                pieces += [self.text[at:a], new]
+                grown.append(grown[-1] + len(new) - (b - a))
+                at = b
         if not todo:
             return self
-        text = "".join([*pieces, self.text[at:]])
-        chars = self.sums[self.base : self.base + self.n, 0]
-        merged: list[list[int]] = []
-        for lo, start, hi, end, before, after in todo:
-            if merged and merged[-1][2] >= lo - 1 and not _is_cut(text, start + before):
-                merged[-1][2:4], merged[-1][5] = [hi, end], after
-            else:
-                while lo > 0 and not _is_cut(text, start + before):  # boundary context on the left
-                    if merged and merged[-1][2] == lo - 1:
-                        m = merged.pop()
-                        lo, start, before = m[0], m[1], m[4]
-                        continue
-                    lo -= 1
-                    start -= int(chars[lo])
-                merged.append([lo, start, hi, end, before, after])
-        joined: list[list[int]] = []
-        for m in merged:
-            if joined and m[0] <= joined[-1][2]:
-                joined[-1][2:4], joined[-1][5] = [max(m[2], joined[-1][2]), max(m[3], joined[-1][3])], m[5]
-            else:
-                joined.append(m)
-            x, nxt = joined[-1], merged.index(m) + 1
-            limit = merged[nxt][0] if nxt < len(merged) else self.n
-            while x[2] + 1 < self.n and not _is_cut(text, x[3] + x[5]):  # and on the right
-                if x[2] + 1 >= limit:
-                    break
-                x[2] += 1
-                x[3] += int(chars[x[2]])
-        final: list[list[int]] = []
-        for x in joined:  # neighbours whose common cut has gone
-            if final and final[-1][2] + 1 >= x[0] and (x[0] <= final[-1][2] or not _is_cut(text, x[1] + x[4])):
-                final[-1][2:4], final[-1][5] = [max(x[2], final[-1][2]), max(x[3], final[-1][3])], x[5]
-            else:
-                final.append(x)
-        tokens = self.sums[self.base : self.base + self.n, 1]
-        new_chars, new_tokens, k, spans, slots = [], [], 0, [], []
-        same_shape = True
-        for lo, start, hi, end, before, after in final:
-            new_chars += chars[k:lo].tolist()
-            new_tokens += tokens[k:lo].tolist()
-            a, b = start + before, end + after
-            ends = leaf_ends(text, a, b)
-            same_shape &= len(ends) == hi - lo + 1
-            for s, e in zip([a, *ends[:-1]], ends):
+        text, begins = "".join([*pieces, self.text[at:]]), [a for a, _ in todo]
+
+        def moved(leaf: int) -> int | None:
+            """Where a leaf begins in the new text; None if an edit spans its beginning."""
+            if leaf == self.n:
+                return len(text)
+            place = self.before(leaf)[0]
+            k = bisect_left(begins, place)
+            return None if k and todo[k - 1][1] > place else place + grown[k] if leaf else 0
+
+        touched = {leaf for a, b in todo for leaf in range(self.find(a), self.find(max(a, b - 1)) + 1)}
+        context = set()  # both sides of a beginning that is no cut any more; their other ends are as they were
+        for leaf in {x for k in touched for x in (k, k + 1) if 0 < x < self.n}:
+            place = moved(leaf)
+            if place is None or not _is_cut(text, place):
+                context |= {leaf - 1, leaf}
+        chars, tokens = (self.sums[self.base : self.base + self.n, c].tolist() for c in (0, 1))
+        new_chars, new_tokens, slots, spans, done, same_shape = [], [], [], [], 0, True
+        for leaf in sorted(touched | context):
+            if leaf < done:
+                continue
+            last = leaf
+            while last + 1 in touched or last + 1 in context:
+                last += 1
+            new_chars += chars[done:leaf]
+            new_tokens += tokens[done:leaf]
+            start, end = moved(leaf), moved(last + 1)
+            ends = leaf_ends(text, start, end)
+            same_shape &= len(ends) == last - leaf + 1
+            for s, e in zip([start, *ends[:-1]], ends):
                 slots.append(len(new_chars))
+                spans.append(text[s:e])
                 new_chars.append(e - s)
                 new_tokens.append(0)
-                spans.append(text[s:e])
-            k = hi + 1
-        new_chars += chars[k:].tolist()
-        new_tokens += tokens[k:].tolist()
-        counts = self.count(spans)
-        self.reencoded += sum(map(len, spans))
-        self.text = text
-        if same_shape:  # only the paths from the changed leaves to the root
-            for leaf, c in zip(slots, counts):
-                k = leaf + self.base
-                self.sums[k] = new_chars[leaf], c
-                while k > 1:
-                    k //= 2
-                    self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
-        else:
-            for leaf, c in zip(slots, counts):
-                new_tokens[leaf] = c
+            done = last + 1
+        new_chars += chars[done:]
+        new_tokens += tokens[done:]
+        for leaf, c in zip(slots, self.count(spans)):
+            new_tokens[leaf] = c
+        self.text, self.reencoded = text, self.reencoded + sum(map(len, spans))
+        if not same_shape:
             self._build(np.asarray(new_chars), np.asarray(new_tokens))
+            return self
+        for leaf in slots:  # only the paths from the changed leaves to the root
+            k = leaf + self.base
+            self.sums[k] = new_chars[leaf], new_tokens[leaf]
+            while k > 1:
+                k //= 2
+                self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
         return self
 
 

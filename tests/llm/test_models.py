@@ -26,7 +26,10 @@ def test_tree_equals_encoding_again(seed):
     rnd = random.Random(seed)
     text = sentence(rnd, n=rnd.choice([0, 3, 200, 900])).replace(" ", rnd.choice([" ", "  ", "\n", " \t", ""]))
     tree = token_counts.TokenTree(text, COUNT)
-    assert tree.tokens == COUNT([text])[0] and tree.tokens_before(tree.n) == tree.tokens if tree.n < tree.base else True
+    assert tree.tokens == COUNT([text])[0]
+    for leaf in range(tree.n):
+        chars, tokens = tree.before(leaf)
+        assert tokens == COUNT([text[:chars]])[0] and (chars == len(text) == 0 or tree.find(chars) == leaf)
     for _ in range(3):
         spans = [(a := rnd.randint(0, len(tree.text)), a + rnd.choice([0, 1, 5, 400]), rnd.choice(["", " ", "a b", "\n", "'s"])) for _ in range(rnd.choice([0, 1, 3, 12]))]
         want, at = [], 0
