@@ -1,14 +1,19 @@
-"""Tokenizers: a native one of regular expressions, and adapters for real ones."""
+"""Tokenizers: one of a regular expression, counted and hashed over bytes in Arrow batches, and adapters for real ones."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import gram_sets, slices, token_counts
+
 PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 
 
@@ -56,13 +61,33 @@ class TokenizerSpec:
     def count(self, col: Column) -> Column:
         if self.path:
             return self._udf("int", lambda e: len(e.ids))(col)
-        return F.regexp_count(self._text(col), F.lit(PATTERN))
+
+        @F.arrow_udf("int")
+        def counted(texts: pa.Array) -> pa.Array:
+            parts = [token_counts(x.column(0)) for x in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t")]
+            n = pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32))
+            return pc.if_else(pc.is_null(texts), pa.scalar(None, pa.int32()), n) if texts.null_count else n
+
+        return counted(self._text(col))
 
     def tokens(self, col: Column) -> Column:
         if self.path:
             return self._udf("array<string>", lambda e: e.tokens)(col)
         return F.regexp_extract_all(self._text(col), F.lit(PATTERN), F.lit(0))
 
+    def gram_hashes(self, col: Column, n: int) -> Column | None:
+        """The distinct n-grams of a text as 64-bit hashes; None if only ``tokens`` can give them."""
+        if self.path:
+            return None
+
+        @F.arrow_udf("array<bigint>")
+        def grams(texts: pa.Array) -> pa.Array:
+            sets = [g for x in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t") for g in gram_sets(x.column(0), n)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+        return grams(self._text(col))
+
     def ids(self, col: Column) -> Column:
         if self.path:
             return self._udf("array<int>", lambda e: e.ids)(col)

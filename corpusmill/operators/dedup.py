@@ -78,11 +78,18 @@ def fuzzy_removed(rows: DataFrame, threshold: float, remove_exact: bool = True,
     return rows.join(limit, "s").where(F.col(ROW_ID) > F.col("limit")).select(ROW_ID)
 
 
+def grams_of(texts: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
+    """``texts`` (.., s) with ``grams``: each text's distinct n-grams, hashed."""
+    hashed = tokenizer.gram_hashes(F.col("s"), n)
+    if hashed is not None:
+        return texts.where("s is not null").withColumn("grams", hashed)
+    tokens = computed_once(texts.where("s is not null"), "t", tokenizer.tokens(F.col("s")))
+    return tokens.withColumn("grams", F.array_distinct(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)))).drop("t")
+
+
 def gram_sets(rows: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
-    """(ROW_ID, grams, size): distinct grams, hashed; rows without any have no partner."""
-    tokens = computed_once(rows.where("s is not null"), "t", tokenizer.tokens(F.col("s")))
-    sets = tokens.select(ROW_ID, F.array_distinct(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g))).alias("grams"))
-    return sets.withColumn("size", F.size("grams")).where("size > 0")
+    """(ROW_ID, grams, size); rows without any gram have no partner."""
+    return grams_of(rows, tokenizer, n).select(ROW_ID, "grams", F.size("grams").alias("size")).where("size > 0")
 
 
 def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -134,11 +141,11 @@ def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: floa
 
 def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """Rows that share a gram with an external text, whatever the threshold."""
-    grams_of = lambda df, *keep: computed_once(df.where("s is not null"), "t", tokenizer.tokens(F.col("s"))).select(*keep, F.explode(ngrams(F.col("t"), n)).alias("g"))
-    theirs = grams_of(external).distinct()
+    theirs = grams_of(external, tokenizer, n).select(F.explode("grams").alias("g")).distinct()
     if theirs.count() <= BROADCAST_ROWS * 10:  # else both sides are shuffled
         theirs = F.broadcast(theirs)
-    return grams_of(rows, ROW_ID).join(theirs, "g", "left_semi").select(ROW_ID).distinct()
+    ours = grams_of(rows, tokenizer, n).select(ROW_ID, F.explode("grams").alias("g"))
+    return ours.join(theirs, "g", "left_semi").select(ROW_ID).distinct()
 
 
 class Deduplicator(Processor):

@@ -107,9 +107,8 @@ class SamplePacker(Processor):
             if state is not None:
                 yield close()
 
-        ordered = counted.repartition("g").sortWithinPartitions("g", "i") if keys else counted.coalesce(1).sortWithinPartitions("i")
-        if not keys:  # counts are made in parallel, only (i, n) goes to the one task
-            ordered = counted.repartition(1).sortWithinPartitions("i")
+        # counts are made in parallel; what is moved is (key, order, count)
+        ordered = counted.repartition("g").sortWithinPartitions("g", "i") if keys else counted.repartition(1).sortWithinPartitions("i")
         packs = ordered.mapInPandas(fold, "g int, i long, pack long")
         joined = rows.join(packs, ["g", "i"]).groupBy("g", "pack").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
         return joined.select(F.array_join(F.transform("parts", lambda p: p["t"]), self.separator).alias(self.field))

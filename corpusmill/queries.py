@@ -343,12 +343,12 @@ def decontaminate_ngram(spark, d):
 _LANDS = "(select distinct n_name as a, r_name as b from nation, region)"
 
 
-@query(f"select n_nationkey, n_name from nation where n_name not in (select a from {sql_scores(_LANDS)} where score >= 40)")
+@query(f"select n_nationkey, n_name from nation where n_name not in (select a from {sql_scores(_LANDS)} where score >= 33)")
 def decontaminate_fuzzy(spark, d):
     nation = table(spark, d, "nation")
     rows = nation.select(F.col("n_nationkey").alias(ROW_ID), F.col("n_name").alias("s"))
     theirs = table(spark, d, "region").select(F.col("r_name").alias("s"))
-    gone = dedup.external_fuzzy_removed(rows, theirs, 40.0).select(F.col(ROW_ID).alias("n_nationkey"))
+    gone = dedup.external_fuzzy_removed(rows, theirs, 33.0).select(F.col(ROW_ID).alias("n_nationkey"))
     return nation.join(gone, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
 
 
