@@ -20,6 +20,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--debug-num-examples", type=int, default=0)
     p.add_argument("--limit", type=int)
     p.add_argument("--export-to")
+    for name in ("--prompter", "--hf-token"):  # taken, and without effect here: strategies are named by datasets, and nothing is sent
+        p.add_argument(name)
+    for name in ("--download", "--no-download", "--iterable"):
+        p.add_argument(name, action="store_true")
     return p
 
 

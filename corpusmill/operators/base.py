@@ -24,6 +24,8 @@ class Context:
     instances: dict[str, Processor] = field(default_factory=dict)
     scorers: dict[str, object] = field(default_factory=dict)
     metrics: dict[str, Observation] = field(default_factory=dict)
+    error_mode: str = "raise"
+    max_errors: int = 10
 
     def observe(self, name: str, df: DataFrame, *aggregates: Column) -> DataFrame:
         """Counts that come with the run's own job, never by one more."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from .base import Context, Passthrough, Processor
 from .dedup import Deduplicator
+from .errors import route_errors
 from .filters import ImageCountFilter, LengthFilter, MultimodalFilter, TokenFilter
 from .images import ImageTransform
 from .mapping import AdvancedMapping, ColumnMapping, QaToMessages
@@ -74,19 +75,23 @@ class Pipeline(Processor):
 class RowFunction(Processor):
     """A user's dict -> dict or None, in Arrow batches; the result has the columns of ``schema``, by default its input's.
 
-    Errors follow ``on_error``: raise, drop (the row) or keep.
+    A row that fails is treated as the run's error mode says: ``raise`` ends the job,
+    ``log_and_continue`` leaves the row out, ``raise_after_k`` does so up to k rows.
     """
 
-    def __init__(self, function: Callable[[dict], dict | None], schema: str | None = None, on_error: str = "raise", config=None, context=None):
+    ERROR = "_error"
+
+    def __init__(self, function: Callable[[dict], dict | None], schema: str | None = None, config=None, context=None):
         super().__init__(config, context)
-        self.function, self.schema, self.on_error = function, schema, on_error
+        self.function, self.schema = function, schema
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def attempt(self, df: DataFrame) -> DataFrame:
+        """The result, with what failed in ERROR."""
         import pandas as pd
 
-        f, on_error = self.function, self.on_error
-        schema = self.schema or df.schema
-        names = df.sparkSession.createDataFrame([], schema).columns
+        f, error = self.function, self.ERROR
+        like = df.sparkSession.createDataFrame([], self.schema or df.schema)
+        names = like.columns
 
         def run(batches):
             for batch in batches:
@@ -94,15 +99,18 @@ class RowFunction(Processor):
                 for row in batch.to_dict("records"):
                     try:
                         got = f(dict(row))
-                    except Exception:
-                        if on_error == "raise":
-                            raise
-                        got = row if on_error == "keep" else None
+                    except Exception as e:  # whatever a user's function raises is a value here
+                        out.append(dict.fromkeys(names) | {error: f"{type(e).__name__}: {e}"[:500]})
+                        continue
                     if got is not None:
-                        out.append({k: got.get(k) for k in names})
-                yield pd.DataFrame(out, columns=names)
+                        out.append({k: got.get(k) for k in names} | {error: None})
+                yield pd.DataFrame(out, columns=[*names, error])
 
-        return df.mapInPandas(run, schema)
+        return df.mapInPandas(run, like.schema.add(error, "string"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        good, self.errors = route_errors(self.attempt(df), self.ERROR, self.context.error_mode, self.context.max_errors)
+        return good
 
 
 for _kind in (Passthrough, LengthFilter, ColumnMapping, QaToMessages, MultimodalFilter, TokenFilter, ImageCountFilter, AdvancedMapping, RegexTransform, ImageTransform, RegexFilter, Pipeline, Deduplicator, RandomSampler, TextToxicityFilter, ImageToxicityFilter, SamplePacker):

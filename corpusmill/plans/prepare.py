@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.tokens import TokenizerSpec, load_tokenizer
 from ..operators.base import ROW_ID, Context, with_row_id
+from ..operators.errors import error_policy
 from ..operators.pipeline import apply_all
 from ..operators.sampling import step_count, take_first, train_test_split
 from ..sources.load import concat_datasets, load_dataset
 from ..sources.save import save_prepared
 from .strategies import load_strategy
 
-LOG = logging.getLogger(__name__)
-ERROR_MODES = ("raise", "log_and_continue", "raise_after_k")
-
-
 @dataclass
 class Prepared:
     train: DataFrame
@@ -28,33 +23,6 @@ class Prepared:
     context: Context
 
 
-def error_policy(cfg: dict) -> tuple[str, int]:
-    """An unknown mode means raise."""
-    given = cfg.get("error_handling") or {}
-    given = {"mode": given} if isinstance(given, str) else given
-    mode = given.get("mode", cfg.get("error_handling_mode", "raise"))
-    if mode not in ERROR_MODES:
-        LOG.warning("unknown error mode %s: raise", mode)
-        mode = "raise"
-    return mode, int(given.get("max_errors", cfg.get("max_errors", 10)))
-
-
-def route_errors(df: DataFrame, error: str, mode: str = "raise", most: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(good rows, count of rows by error) of a table whose column ``error`` says what failed.
-
-    ``raise`` fails the job at the first bad row; ``raise_after_k`` counts first, and
-    fails if there are more than k; otherwise bad rows are left out.
-    """
-    bad = df.where(F.col(error).isNotNull())
-    summary = bad.groupBy(F.split_part(error, F.lit(":"), F.lit(1)).alias("error_type")).count()
-    if mode == "raise":
-        checked = F.when(F.col(error).isNotNull(), F.raise_error(F.col(error)).cast("boolean")).otherwise(F.lit(True))
-        return df.where(checked).drop(error), summary
-    if mode == "raise_after_k" and bad.limit(most + 1).count() > most:
-        raise RuntimeError(f"more than {most} rows failed")
-    return df.where(F.col(error).isNull()).drop(error), summary
-
-
 def prepare_one(spark: SparkSession, cfg: dict, spec: dict, context: Context, limit: int | None = None) -> DataFrame:
     df = load_dataset(spark, spec)
     most = spec.get("limit", limit)
@@ -75,7 +43,8 @@ def prepare(spark: SparkSession, cfg: dict, limit: int | None = None, scorers: d
     if not cfg.get("datasets"):
         raise ValueError("the configuration has no datasets")
     tokenizer = load_tokenizer(cfg) if cfg.get("tokenizer_file") or cfg.get("tokenizer_config") or cfg.get("base_model") else None
-    context = Context(tokenizer=tokenizer, order_by=cfg.get("order_by"), scorers=scorers or {})
+    mode, most = error_policy(cfg)
+    context = Context(tokenizer=tokenizer, order_by=cfg.get("order_by"), scorers=scorers or {}, error_mode=mode, max_errors=most)
     limit = limit if limit is not None else cfg.get("limit")
     train = concat_datasets([prepare_one(spark, cfg, spec, context, limit) for spec in cfg["datasets"]])
     test = None

@@ -14,6 +14,7 @@ from ..functions.prompts import build_prompt, chat_text, conversation_text
 from ..functions.tokens import TokenizerSpec
 from ..functions.values import column, computed_once, field
 from ..operators.filters import size_within
+from ..operators.images import ImageTransform
 from ..operators.mapping import MESSAGES, first_truthy, messages_of
 
 LOG = logging.getLogger(__name__)
@@ -142,6 +143,8 @@ def vision_language(spec: TokenizerSpec, cfg: dict, dataset: dict) -> Strategy:
 
             good = F.filter(images, passes)
         df = df.select("*", messages.alias("_m"), images.alias("_raw"), good.alias("_images"), many("videos").alias("_videos"), many("audios").alias("_audios"))
+        if gate.get("max_size") and isinstance(kind, T.StructType):
+            df = ImageTransform({"image_fields": ["_images"], "max_size": list(gate["max_size"])})(df)
         if gate.get("verify_images", True):
             df = df.where(~((F.size("_raw") > 0) & (F.size("_images") == 0)))
         error = F.when(F.col("_m").isNull(), "missing question or answer").when(~placeholders_match(F.col("_m"), F.col("_images"), F.col("_videos"), F.col("_audios")), "placeholders and media differ in number")

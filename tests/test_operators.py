@@ -17,7 +17,8 @@ from corpusmill.operators.images import fitted_size, resample
 from corpusmill.operators.mapping import convert_to_messages
 from corpusmill.operators.toxicity import safety_tag
 from corpusmill.plans.config import set_path
-from corpusmill.plans.prepare import error_policy, prepare, route_errors
+from corpusmill.operators.errors import error_policy, route_errors
+from corpusmill.plans.prepare import prepare
 from corpusmill.plans.strategies import load_strategy
 from corpusmill.sources.load import load_dataset, parse_split
 from corpusmill.sources.save import dataset_card, export, prepared_path, save_prepared, size_category, validate_export
@@ -468,6 +469,50 @@ def test_registry_and_stats(spark):
     assert context.metrics["len"].get == {"total": 2, "kept": 1, "filtered": 1}
     shout = RowFunction(lambda r: None if r["id"] == 1 else r | {"text": r["text"].upper()})
     assert [tuple(r) for r in shout(df).collect()] == [(2, "ABCDEF")]
+    fails = lambda mode, k=10: RowFunction(lambda r: r if r["id"] == 2 else {"id": 1 // 0}, context=Context(error_mode=mode, max_errors=k))(df)
+    assert ids(fails("log_and_continue")) == [2] and ids(fails("raise_after_k")) == [2]
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        fails("raise").collect()
+    with pytest.raises(RuntimeError):
+        fails("raise_after_k", 0)
+
+
+def test_vl_images(spark):
+    big = np.zeros((40, 80, 3), np.uint8)
+    chat = f"problem string, solution string, image {im.IMAGE_TYPE}"
+    df = spark.createDataFrame([("<image>q", "a", _image(big)), ("q", "a", None), ("q", "a", (None, "x", 0, 0, None))], chat)
+    cfg = {"sequence_len": 50, "vl_config": {"image_processing": {"max_size": [20, 20]}}}
+    got = load_strategy("vl", TOK, cfg)(df).collect()
+    assert len(got) == 2 and (got[0]["images"][0]["width"], got[0]["images"][0]["height"]) == (20, 10)
+    assert got[0]["metadata"]["num_images"] == 1 and got[1]["metadata"]["num_images"] == 0
+
+
+def test_cli(spark, tmp_path, capsys):
+    from corpusmill import cli
+
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(5)], "id int, text string")
+    df.write.parquet(f"{tmp_path}/in")
+    (tmp_path / "c.yaml").write_text(f"datasets:\n- path: {tmp_path}/in\n  filter_only: true\n  type: completion\ndataset_prepared_path: {tmp_path}/out\n")
+    assert cli.main([str(tmp_path / "c.yaml"), "sequence_len=16", "--limit", "3", "--debug-num-examples", "1"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/out/train_none_16").count() == 3 and "train_none_16" in capsys.readouterr().out
+
+
+def test_batches():
+    import pyarrow as pa
+
+    from corpusmill.functions import batches
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab1 .é\t\u00a0😀") for _ in range(rnd.randint(0, 30))) for _ in range(200)] + [None, ""]
+    toks = [re.findall(r"(?a)[A-Za-z0-9]+|[^A-Za-z0-9\s]", t or "") for t in texts]
+    assert batches.token_counts(pa.array(texts)).tolist() == list(map(len, toks))
+    data, offs = batches.text_bytes(pa.array(texts))
+    got: list[list[str]] = [[] for _ in texts]
+    for a, b, k in zip(*batches.token_spans(data, offs)):
+        got[k].append(data[a:b].tobytes().decode())
+    assert got == toks
+    sets = batches.gram_sets(pa.array(texts), 3)
+    assert [len(s) for s in sets] == [len({tuple(t[k : k + 3]) for k in range(len(t) - 2)}) for t in toks]
 
 
 def test_stream(spark, tmp_path):
