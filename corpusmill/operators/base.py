@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import TokenizerSpec
 from ..functions.values import condition
@@ -102,12 +103,14 @@ class Passthrough(Processor):
 
 
 def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """Adds ROW_ID, by which "first" is meant: an order column, or the order read, fixed by a checkpoint."""
+    """Adds ROW_ID, by which "first" is meant: an integer order column itself, else the order of any other column, or
+    the order read; these two are fixed by a checkpoint, as they would change if a lost partition were read again."""
     if ROW_ID in df.columns:
         return df
-    if order_by:
-        return df.withColumn(ROW_ID, F.col(order_by).cast("long"))
+    if order_by and isinstance(df.schema[order_by].dataType, T.IntegralType):
+        return df.withColumn(ROW_ID, F.col(f"`{order_by}`").cast("long"))
     from ..storage import shared_dir
 
     shared_dir(df.sparkSession)
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id()).checkpoint()
+    ordered = df.sort(F.col(f"`{order_by}`")) if order_by else df
+    return ordered.withColumn(ROW_ID, F.monotonically_increasing_id()).checkpoint()

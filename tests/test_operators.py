@@ -65,6 +65,13 @@ def test_dedup_edges(spark, near):
     assert ids(run(only, {"type": "deduplicator", "external_datasets": [{"path": "/nowhere/at/all"}]})) == [1, 3, 4, 5]
 
 
+def test_order_column(spark):
+    df = spark.createDataFrame([("b", "same"), ("a", "same"), ("c", "other text")], "key string, text string")
+    for order, kept in (("key", ["a", "c"]), (None, ["b", "c"])):
+        out = apply_all(df.coalesce(1), [{"type": "deduplicator"}], Context(order_by=order))
+        assert sorted(r["key"] for r in out.collect()) == kept
+
+
 def _texts(seed, n=40):
     rnd = random.Random(seed)
     base = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 30))) for _ in range(12)]
