@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..storage import Workspace, shared_dir  # noqa: F401
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch at most: texts are long, and the JVM and the worker hold a batch each.
+BATCH_ROWS = 1000
 
 #: Unicode-free token count: runs of letters or digits, else single symbols.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
@@ -27,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are cut to BATCH_ROWS if they are larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def n_parts(spark: SparkSession) -> int:
     """The session's shuffle width: it is what the operator of a cluster sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, lower, slices, squeeze, text_bytes
+from .common import WORD_BYTE, lower, slices, small_batches, squeeze, text_bytes
 
 WINDOW = 10
 MIN_WORDS = 5
@@ -132,6 +132,7 @@ def _hits(texts: pa.Array, patterns: Patterns) -> list[tuple[int, int]]:
 
 def find_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """(doc_id, item_id, windows): for each row of ``docs`` and item, how many different windows of the item it contains."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
@@ -150,6 +151,7 @@ def find_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
     """The rows of ``docs`` that contain no pattern, all columns as they are."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
 
     @F.arrow_udf("boolean")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, gram_hashes, lower, mix, n_parts, signed, slices, span_hashes, text_bytes, words
+from .common import Workspace, gram_hashes, lower, mix, n_parts, signed, slices, small_batches, span_hashes, text_bytes, words
 from .components import components, relabel
 
 N = 4
@@ -136,6 +136,7 @@ def _shared(parts: int):
             s, run = _runs(uid[a : a + k])
             for c, v in zip(cols, (int(to[a]), number, uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
                 c.append(v)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["to", "part", "uid", "size", "run", "gram", "df"])
 
     return run
@@ -160,6 +161,7 @@ def _assemble(threshold: float):
         g, df, uid, size = g[at], df[at], uid[at], size[at]
         s, k = _runs(uid)
         prefix = k - need(size[s], threshold) + 1
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([
             pa.array(uid[s], pa.int64()), pa.array(size[s], pa.int32()), pa.array(1 - k / np.maximum(size[s], 1), pa.float64()),
             pa.array([signed(g[a : a + p]).tolist() for a, p in zip(s, prefix)], pa.list_(pa.int64())),
@@ -174,6 +176,7 @@ def prepare(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRES
 
     ``docs`` has uid and text; ``alone`` is the share of tokens that no other text has.
     """
+    small_batches(docs)
     parts = n_parts(docs.sparkSession)
     packed = docs.mapInArrow(_emit(parts, n), "part int, uid binary, size binary, run binary, gram binary")
     shared = packed.groupBy("part").applyInArrow(_shared(parts), "to int, part int, uid binary, size binary, run binary, gram binary, df binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_BYTE, lower, slices, squeeze, text_bytes
+from .common import LETTER_BYTE, lower, slices, small_batches, squeeze, text_bytes
 
 BLOCK = 4096
 DICTIONARY_BYTES = 256 << 10
@@ -85,6 +85,7 @@ def classify(texts: pa.Array, tools: list[tuple[str, object]], min_margin: float
 
 def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """One row per row of ``docs``: the best language (null without letters), the margin, and whether it is accepted."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DICTIONARY_BYTES a language
 
     def run(batches):
@@ -114,6 +115,7 @@ def is_identified(model: dict[str, bytes], spark, min_margin: float = MIN_MARGIN
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, all columns as they are."""
+    small_batches(docs)
     model = dictionaries(docs) if model is None else model
     predicate: Column = is_identified(model, docs.sparkSession, min_margin)(docs["text"].cast("string"))
     return docs.where(predicate)

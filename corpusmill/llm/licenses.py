@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lower, mix, slices, span_hashes, text_bytes, words
+from .common import lower, mix, slices, small_batches, span_hashes, text_bytes, words
 
 CONTAINMENT = 0.8
 RECALL = 0.999
@@ -148,6 +148,7 @@ class Index:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
     """(doc_id, license, containment, word): each row's templates, and where the best window begins.  No shuffle."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(Index.build(TEMPLATES if templates is None else templates, containment, recall))
 
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tokens
+from .common import n_tokens, small_batches
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SEQUENCE_COST = 16  #: of a sequence, in tokens, besides its length
@@ -95,6 +95,7 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokens:
     Only (doc_id, count) is shuffled, once.  A group but for its last few bins is as
     well filled as one packing of everything, so the loss is a few bins in thousands.
     """
+    small_batches(docs)
     groups = max(1, math.ceil(docs.count() / group_rows))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_tokens() if tokens is None else tokens).alias("n")).where("n > 0")
     counted = counted.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))

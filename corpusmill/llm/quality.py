@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, lower, sampled_texts, slices, span_hashes, text_bytes, words
+from .common import labelled_sample, lower, sampled_texts, slices, small_batches, span_hashes, text_bytes, words
 
 BITS = 16
 FACTORS = 8
@@ -143,6 +143,7 @@ def _columns(docs: DataFrame) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fits ``labels`` (doc_id, quality 0 or 1) on a sample of at most about ``per_class`` rows of each class."""
+    small_batches(docs)
 
     def run(batches):
         for batch in batches:
@@ -160,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def score(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per row of ``docs``: doc_id, the probability of good quality, and whether it is accepted."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES x (1 + FACTORS) numbers, whatever the data
 
     def run(batches):
@@ -173,6 +175,7 @@ def score(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFr
 
 def keep_good(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` that are accepted, all columns as they are."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

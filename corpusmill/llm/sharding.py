@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, n_tokens
+from .common import Workspace, n_tokens, small_batches
 
 SHARDS = 64
 KEYS = ("source", "lang")
@@ -45,6 +45,7 @@ def place(units: np.ndarray, shards: int, slack: float = SLACK) -> np.ndarray:
 
 def shard(docs: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(doc_id, shard) of every row.  Texts are read once, to be measured; what is shuffled is sums, what is sent is bounded."""
+    small_batches(docs)
     spark = docs.sparkSession
     ws, fine = Workspace(spark), UNITS_A_SHARD * shards
     key = F.to_json(F.struct(*(F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys))))

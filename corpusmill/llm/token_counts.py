@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,6 +190,7 @@ def count_with_edits(docs: DataFrame, vocabulary: str = VOCABULARY, edits: Calla
 
     A map over Arrow batches: no shuffle, and a task holds the tree of one text at a time.
     """
+    small_batches(docs)
 
     def run(batches):
         count = counter(vocabulary)

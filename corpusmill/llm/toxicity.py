@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LETTER_BYTE, labelled_sample, lower, sampled_texts, slices, squeeze, text_bytes
+from .common import LETTER_BYTE, labelled_sample, lower, sampled_texts, slices, small_batches, squeeze, text_bytes
 
 BITS = 18
 ORDERS = (4, 5)
@@ -86,6 +86,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 8, rate: float = 0.02,
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fits ``labels`` (doc_id, toxic 0 or 1) on a sample of at most about ``per_class`` rows of each class."""
+    small_batches(docs)
 
     def run(batches):
         for batch in batches:
@@ -99,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id and the probability that it is toxic."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS numbers, whatever the data
 
     def run(batches):
