@@ -40,7 +40,8 @@ from .components import components, relabel
 
 N = 4
 THRESHOLD = 0.5
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
+CHUNK = 1 << 18
 #: Removed ids are sent to every task up to this number, beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -109,14 +110,23 @@ def _shared(parts: int):
     """Of one range of tokens: those of several texts, with their document frequency, packed by text."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs = np.concatenate(_column(table, "run", np.int32))
-        uid, size = (np.repeat(np.concatenate(_column(table, c, t)), runs) for c, t in (("uid", np.int64), ("size", np.int32)))
+        number = table.column("part")[0].as_py()
+        uids, sizes, runs = (np.concatenate(_column(table, c, t)) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
         g = np.concatenate(_column(table, "gram", np.uint32))
+        del table
         s = np.sort(g)
         many = np.unique(s[1:][s[1:] == s[:-1]])
-        if len(many):
-            keep = many[np.minimum(np.searchsorted(many, g), len(many) - 1)] == g
-            g, uid, size = g[keep], uid[keep], size[keep]
+        del s
+        # most tokens have one text: only the others are told whose they are
+        found = [np.zeros(0, np.int64)]
+        for k in range(0, len(g) if len(many) else 0, CHUNK):
+            x = g[k : k + CHUNK]
+            found.append(np.flatnonzero(many[np.minimum(np.searchsorted(many, x), len(many) - 1)] == x) + k)
+        at = np.concatenate(found)
+        which = np.searchsorted(np.cumsum(runs), at, side="right")
+        g, uid, size = g[at], uids[which], sizes[which]
+        df = np.zeros(0, np.int64)
+        if len(g):
             at = np.lexsort((uid, g))
             g, uid, size = g[at], uid[at], size[at]
             new = np.concatenate([[True], (g[1:] != g[:-1]) | (uid[1:] != uid[:-1])])  # copies have one set
@@ -125,13 +135,10 @@ def _shared(parts: int):
             df = np.repeat(k, k)
             keep = df > 1
             g, uid, size, df = g[keep], uid[keep], size[keep], df[keep]
-        else:
-            g, uid, size, df = g[:0], uid[:0], size[:0], g[:0]
         to = (mix(uid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         at = np.lexsort((uid, to))
         g, uid, size, df, to = g[at], uid[at], size[at], df[at], to[at]
         cols: list[list] = [[] for _ in range(7)]
-        number = table.column("part")[0].as_py()
         for a, k in zip(*_runs(to)):
             s, run = _runs(uid[a : a + k])
             for c, v in zip(cols, (int(to[a]), number, uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
