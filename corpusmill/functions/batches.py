@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
 
@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("mul", ())) < n:
         size = max(n, SLICE_BYTES + 1)
-        for name, base in (("mul", _MUL), ("inv", _INV)):
+        for name, base in (("mul", MULTIPLIER), ("inv", _INV)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1
             np.multiply.accumulate(a, out=a)
@@ -119,7 +119,7 @@ def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     k = max(0, len(h) - n + 1)
     g = np.zeros(k, np.uint64)
     for j in range(n if k else 0):
-        g = (g + h[j : k + j]) * _MUL
+        g = (g + h[j : k + j]) * MULTIPLIER
     whole = of[:k] == of[n - 1 :] if k else np.zeros(0, bool)
     g, of = mix(g[whole]).view(np.int64), of[:k][whole]
     return [np.unique(x) for x in np.split(g, np.searchsorted(of, np.arange(1, len(texts))))]
