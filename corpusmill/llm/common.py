@@ -1,23 +1,20 @@
 """Shared pieces: table access, the shared work folder, vectorised text hashing.
 
-Text is handled in Arrow batches.  ``slices`` cuts a batch into pieces of a
-bounded number of bytes, so memory follows ``SLICE_BYTES`` (or the longest single
-text), never the batch; every text is still processed whole.
+Text is handled in Arrow batches, cut into slices of a bounded number of bytes; every
+text is still processed whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import MULTIPLIER, mix, slices, span_hashes, text_bytes, token_counts  # noqa: F401
 from ..storage import Workspace, shared_dir  # noqa: F401
 
-SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch at most: texts are long, and the JVM and the worker hold a batch each.
 BATCH_ROWS = 1000
 
@@ -42,74 +39,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ------------------------------------------------------------------- batches
-def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array and its offsets, from 0; nulls are empty."""
-    if col.null_count:
-        col = pc.fill_null(col, "")
-    if pa.types.is_large_string(col.type):
-        offs = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
-    else:
-        offs = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
-    offs = offs.astype(np.int64)
-    if len(col) == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    buf = col.buffers()[2]
-    data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
-    return data[offs[0] : offs[-1]], offs - offs[0]
-
-
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch with at most ``limit`` bytes in ``column`` (or one row)."""
-    n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(n)
-    at = 0
-    while at < len(n):
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 # ------------------------------------------------------------------- hashing
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_pow: dict[str, np.ndarray] = {}
-
 #: ASCII letters and digits and every byte of a non-ASCII character.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *range(128, 256)]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (a bijection)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow.get("mul", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("mul", _MUL), ("inv", _INV)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            np.multiply.accumulate(a, out=a)
-            _pow[name] = a
-    return _pow["mul"][:n], _pow["inv"][:n]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, whatever the number of spans: polynomial prefix sums."""
-    mul, inv = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * mul[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts])
-
-
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text number) of the words of concatenated texts: maximal runs of WORD_BYTE within a text."""
     if not len(data):
@@ -136,7 +71,7 @@ def gram_hashes(word: np.ndarray, owner: np.ndarray, n_texts: int, n: int) -> tu
     with np.errstate(over="ignore"):
         g = np.zeros(max(0, k - n + 1), np.uint64)
         for j in range(n):
-            g = (g + word[j : k - n + 1 + j]) * _MUL if k >= n else g
+            g = (g + word[j : k - n + 1 + j]) * MULTIPLIER if k >= n else g
         ok = owner[: k - n + 1] == owner[n - 1 :] if k >= n else np.zeros(0, bool)
         grams, of = mix(g[ok]), owner[: max(0, k - n + 1)][ok]
         first = np.cumsum(count) - count
@@ -146,7 +81,7 @@ def gram_hashes(word: np.ndarray, owner: np.ndarray, n_texts: int, n: int) -> tu
             if len(short):
                 h = np.full(len(short), m, np.uint64)
                 for j in range(m):
-                    h = (h + word[first[short] + j]) * _MUL
+                    h = (h + word[first[short] + j]) * MULTIPLIER
                 extra_h.append(mix(h))
                 extra_o.append(short)
     if extra_h:
@@ -203,26 +138,6 @@ def sampled_texts(docs: DataFrame, sample: DataFrame, columns: list[str]) -> Dat
     return docs.selectExpr("cast(doc_id as long) doc_id", *columns).join(F.broadcast(sample), "doc_id")
 
 
-_DIGIT_OR_LETTER = np.zeros(256, bool)
-_DIGIT_OR_LETTER[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
-_SYMBOL = np.ones(256, bool)  # the first byte of a character that is a token by itself
-_SYMBOL[[*b" \t\n\x0b\f\r", *range(128, 192)]] = False
-_SYMBOL &= ~_DIGIT_OR_LETTER
-
-
-def token_counts(texts: pa.Array) -> np.ndarray:
-    """Tokens by TOKEN_PATTERN of each text, in one pass over the bytes of all."""
-    data, offs = text_bytes(texts)
-    inner = _DIGIT_OR_LETTER[data]
-    starts = inner.copy()
-    starts[1:] &= ~inner[:-1]
-    first = offs[:-1][np.diff(offs) > 0]
-    starts[first] = inner[first]
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(starts | _SYMBOL[data], out=total[1:])
-    return np.diff(total[offs])
-
-
 def n_tokens(text: str = "text"):
     """Tokens by TOKEN_PATTERN; null and empty text: 0.  The JVM's regexp_count makes an array of all of them first."""
 
