@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _TASK = "Below is an instruction that describes a task"
 _RESPOND = "Write a response that appropriately completes the request."
-_CHAT = "A chat between a curious user and an artificial intelligence assistant. " + "The assistant gives helpful, detailed, and polite answers to the user's questions."
+_CHAT = "A chat between a curious user and an artificial intelligence assistant. " + "The assistant gives helpful, detailed, " + "and polite answers to the user's questions."
 _HELP = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n"
 
 #: Per style: before the instruction (with and without input), before the input, the response's opening, what closes an output.
