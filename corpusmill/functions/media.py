@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IMAGE, VIDEO, AUDIO = "<image>", "<video>", "<audio>"
+IMAGE = "<image>"
+VIDEO = "<video>"
+AUDIO = "<audio>"
 
 
 def placeholder_count(messages: Column, placeholder: str) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 _TASK = "Below is an instruction that describes a task"
 _RESPOND = "Write a response that appropriately completes the request."
 _CHAT = "A chat between a curious user and an artificial intelligence assistant. " + "The assistant gives helpful, detailed, " + "and polite answers to the user's questions."
-_HELP = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n"
+_START, _END = "<|im_start|>", "<|im_end|>"
+_HELP = f"{_START}system\nYou are a helpful assistant.{_END}\n{_START}user\n"
 
 #: Per style: before the instruction (with and without input), before the input, the response's opening, what closes an output.
 STYLES: dict[str, tuple[str, str, str, str, str]] = {
     "alpaca": (f"{_TASK}, paired with an input that provides further context. {_RESPOND}\n\n### Instruction:\n", f"{_TASK}. {_RESPOND}\n\n### Instruction:\n", "\n\n### Input:\n", "\n\n### Response:\n", ""),
-    "chatml": (_HELP, _HELP, "\n", "<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>"),
+    "chatml": (_HELP, _HELP, "\n", f"{_END}\n{_START}assistant\n", _END),
     "vicuna": (f"{_CHAT}\n\nUSER: ", f"{_CHAT}\n\nUSER: ", "\n", "\nASSISTANT: ", ""),
 }
 RESPONSE_SPLIT = {"alpaca": "### Response:", "chatml": "<|im_start|>assistant", "vicuna": "ASSISTANT:", "completion": "### Response:"}

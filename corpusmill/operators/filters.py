@@ -12,8 +12,8 @@ from ..functions.images import image_ok, image_readable
 from ..functions.values import column, field, joined_text, truthy
 from .base import Filter
 
-MAIN_TEXT = ("text", "content", "problem", "question", "instruction")
-OTHER_TEXT = ("solution", "answer", "output", "response")
+MAIN_TEXT = tuple("text content problem question instruction".split())
+OTHER_TEXT = tuple("solution answer output response".split())
 
 
 def all_of(tests: list[Column]) -> Column | None:
@@ -60,7 +60,7 @@ class TokenFilter(Filter):
     """``hf_filter``: token limits on the joined truthy text fields, and image checks; a row without text is dropped."""
 
     type = "hf_filter"
-    FIELDS = ("problem", "solution", "question", "answer", "text", "content")
+    FIELDS = tuple("problem solution question answer text content".split())
 
     def keep(self, df: DataFrame) -> Column | None:
         c, tests = self.config, []

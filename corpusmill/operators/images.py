@@ -100,7 +100,7 @@ def apply_one(x: np.ndarray, t: dict, method: str, mode: str) -> np.ndarray:
     raise ValueError(f"unknown image transform: {kind}")
 
 
-PIXELS = ("resize", "center_crop", "random_crop", "resized_crop", "grayscale", "color_jitter")
+PIXELS = tuple("resize center_crop random_crop resized_crop grayscale color_jitter".split())
 TENSOR = ("to_tensor", "normalize", "to_pil")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,11 @@ class ColumnMapping(Processor):
         return df.select(*out.values())
 
 
+def _top(path: str) -> str:
+    """The column that a path begins with."""
+    return re.split(r"[.\[]", path, maxsplit=1)[0]
+
+
 def _listed(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x or [])
 
@@ -40,7 +46,7 @@ class AdvancedMapping(Processor):
 
     def required_columns(self) -> list[str]:
         rules = [m["source"] for m in self.config.get("mappings") or [] if m.get("source")]
-        return sorted({s.split(".")[0].split("[")[0] for s in rules} | set(self.config.get("simple_mappings") or {}))
+        return sorted({_top(s) for s in rules} | set(self.config.get("simple_mappings") or {}))
 
     def value(self, df: DataFrame, rule: dict) -> tuple[Column, T.DataType] | None:
         got = navigate(None, df.schema, rule.get("source", ""))
@@ -94,7 +100,7 @@ class AdvancedMapping(Processor):
             for f in _listed(rule.get("remove_before")):
                 out.pop(f, None)
             got = self.value(df, rule)
-            used.add(rule["source"].split(".")[0].split("[")[0])
+            used.add(_top(rule["source"]))
             if got is not None:
                 col, kind = got
                 for t in [rule["target"]] if rule.get("target") else _listed(rule.get("targets")):

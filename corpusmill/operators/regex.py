@@ -13,6 +13,7 @@ from ..functions.regex import parse_flags, search, substitute
 from ..functions.values import column, condition, field
 from .base import Filter, Processor
 
+DEFAULT_FLAGS = ["MULTILINE"]
 ACTIONS = ("remove", "keep", "keep_only")
 
 
@@ -33,7 +34,7 @@ class RegexFilter(Filter):
             raise ValueError("regex_filter needs filter_patterns")
         if self.mode not in ("any", "all"):
             raise ValueError("logic_mode must be any or all")
-        flags = parse_flags(self.config.get("default_flags", ["MULTILINE"]))
+        flags = parse_flags(self.config.get("default_flags", DEFAULT_FLAGS))
         self.patterns: list[tuple[str, str, str, int, str]] = []
         for n, p in enumerate(patterns):
             action = str(p.get("action", "remove")).lower()
@@ -75,7 +76,7 @@ class RegexTransform(Processor):
 
     def __init__(self, config=None, context=None):
         super().__init__(config, context)
-        flags = parse_flags(self.config.get("default_flags", ["MULTILINE"]))
+        flags = parse_flags(self.config.get("default_flags", DEFAULT_FLAGS))
         self.rules: list[tuple[str, str, str, int, int]] = []
         for n, t in enumerate(self.config.get("transformations") or []):
             if not t.get("field") or not t.get("pattern"):

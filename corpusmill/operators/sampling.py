@@ -57,7 +57,7 @@ class RandomSampler(Processor):
         super().__init__(config, context)
         self.size, self.seed = self.config.get("sample_size"), int(self.config.get("seed", 42))
         if not isinstance(self.size, int) or isinstance(self.size, bool) or self.size <= 0:
-            raise ValueError("sample_size must be a positive integer")
+            raise ValueError("sample_size has to be an integer above 0")
 
     def transform(self, df: DataFrame) -> DataFrame:
         n = df.count()

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.values import column, field, joined_text
 from .base import Filter
 
-TYPES = ("toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack", "sexual_explicit")
+TYPES = tuple("toxicity severe_toxicity obscene threat insult identity_attack sexual_explicit".split())
 Scorer = Callable[[Column], dict[str, Column]]
 
 
@@ -39,7 +39,7 @@ class TextToxicityFilter(Filter):
     """
 
     type = "text_toxicity_filter"
-    FIELDS = ("text", "content", "problem", "solution", "question", "answer")
+    FIELDS = tuple("text content problem solution question answer".split())
 
     def keep(self, df: DataFrame) -> Column | None:
         c = self.config

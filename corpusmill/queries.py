@@ -46,7 +46,7 @@ def sql_tokens(text: str) -> str:
     return f"len(regexp_extract_all({text}, '{PATTERN}'))"
 
 
-# ----------------------------------------------------------------- filters
+# filters:
 @query("select doc_id, length(text) as chars from documents where length(text) between 200 and 5000 or text = ''")
 def length_filter(spark, d):
     return docs(spark, d, {"type": "filter", "min_length": 200, "max_length": 5000}).select("doc_id", F.length("text").cast("long").alias("chars"))
@@ -118,7 +118,7 @@ def filter_stats(spark, d):
     return df.agg(F.count("*").alias("total"), F.count(F.when(keep, 1)).alias("kept"), F.count(F.when(~keep, 1)).alias("short"), F.count(F.when(vote, 1)).alias("licensed"))
 
 
-# ----------------------------------------------------------------- mappings and text
+# mappings and text:
 @query("select r_regionkey, r_name from region")
 def passthrough(spark, d):
     return apply_all(table(spark, d, "region"), [{"type": "passthrough"}])
@@ -174,7 +174,7 @@ def processor_chain(spark, d):
     return docs(spark, d, *steps).select("doc_id", "lang", "text")
 
 
-# ----------------------------------------------------------------- prompts and strategies
+# prompts and strategies:
 def instructions(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, instruction, input, output): what a user says, and the assistant's next turn."""
     c = table(spark, d, "conversations")
@@ -263,7 +263,7 @@ def llava_placeholders(spark, d):
     return c.select("conv_id", media.placeholder_count(F.col("messages"), "<image>").cast("long").alias("placeholders"), F.aggregate(wide, F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"])).alias("chars"))
 
 
-# ----------------------------------------------------------------- duplicates
+# duplicates:
 LCS = """length(a) - bit_count(list_reduce(list_prepend((1::bigint << length(a)) - 1, list_transform(string_split(b, ''), lambda c: coalesce(m[c], 0::bigint))),
  lambda s, u: ((s + (s & u)) | (s - (s & u))) & ((1::bigint << length(a)) - 1)))"""
 MASKS = """map_from_entries(list_transform(list_distinct(string_split(a, '')), lambda ch: {'k': ch, 'v': list_sum(list_transform(range(1, length(a) + 1),
@@ -352,9 +352,10 @@ def decontaminate_fuzzy(spark, d):
     return nation.join(gone, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
 
 
-# ----------------------------------------------------------------- toxicity
+# toxicity:
 INSULTS = ["idiot", "stupid", "moron", "loser", "clown"]
 SPITE = ["hate", "disgusting", *INSULTS]
+WORDS = {"toxicity": SPITE, "insult": INSULTS}
 
 
 def sql_score(words: list[str]) -> str:
@@ -363,13 +364,13 @@ def sql_score(words: list[str]) -> str:
 
 @query(f"select doc_id from documents where not ({sql_score(SPITE)} > 0.5 or {sql_score(INSULTS)} > 0.4)")
 def text_toxicity_any(spark, d):
-    spec = {"type": "text_toxicity_filter", "words": {"toxicity": SPITE, "insult": INSULTS}, "check_types": ["toxicity", "insult"], "toxicity_threshold": 0.5, "insult_threshold": 0.4}
+    spec = {"type": "text_toxicity_filter", "words": WORDS, "check_types": list(WORDS), "toxicity_threshold": 0.5, "insult_threshold": 0.4}
     return docs(spark, d, spec).select("doc_id")
 
 
 @query(f"select doc_id from documents where not ({sql_score(SPITE)} > 0.8 and {sql_score(INSULTS)} > 0.4)")
 def text_toxicity_all(spark, d):
-    spec = {"type": "text_toxicity_filter", "words": {"toxicity": SPITE, "insult": INSULTS}, "check_types": ["toxicity", "insult"], "toxicity_threshold": 0.8, "insult_threshold": 0.4, "filter_mode": "all"}
+    spec = {"type": "text_toxicity_filter", "words": WORDS, "check_types": list(WORDS), "toxicity_threshold": 0.8, "insult_threshold": 0.4, "filter_mode": "all"}
     return docs(spark, d, spec).select("doc_id")
 
 
@@ -385,7 +386,7 @@ def image_safety_tag(spark, d):
     return table(spark, d, "embeddings").select("vec_id", safety_tag(F.col("embedding"), _axes(0, 1, 2), _axes(3, 4), _axes(5), 0.15).alias("tag"))
 
 
-# ----------------------------------------------------------------- sampling, splitting, packing
+# sampling, splitting, packing:
 @query("select doc_id, source from documents order by md5('42|' || doc_id), doc_id limit 100")
 def random_sample_down(spark, d):
     return docs(spark, d, {"type": "random_sampler", "sample_size": 100}).select("doc_id", "source")

@@ -144,7 +144,7 @@ def test_short_lcs(spark):
     assert [r["n"] for r in got] == [similarity.lcs_length(r["a"], r["b"]) for r in got]
 
 
-# ------------------------------------------------------------------ filters
+# filters:
 def test_length_and_token_filters(spark):
     df = spark.createDataFrame([(1, "short", None), (2, "a much longer text here", "x"), (3, None, None), (4, "", "y")], "id int, text string, other string")
     assert ids(run(df, {"type": "filter", "min_length": 10})) == [2, 3, 4]
@@ -210,7 +210,7 @@ def test_truthiness(spark):
     assert [list(r) for r in got] == [[False] * 5, [True] * 5]
 
 
-# ------------------------------------------------------------------ mappings
+# mappings:
 def test_column_mapping(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     out = run(df, {"type": "column_mapping", "column_mapping": {"b": "x", "a": "c"}})
@@ -244,7 +244,7 @@ def test_qa(spark):
     assert convert_to_messages(df).count() == 1 and convert_to_messages(df.select("id")).columns == ["id"]
 
 
-# ------------------------------------------------------------------ prompts, strategies, media
+# prompts, strategies, media:
 def test_prompts(spark):
     df = spark.createDataFrame([("do", "in", "out"), ("do", "", None), (None, None, "o")], "i string, n string, o string")
     show = lambda s: [r[0] for r in df.select(prompts.build_prompt(s, *map(F.col, "ino"))).collect()]
@@ -286,7 +286,7 @@ def test_conversation_and_media(spark):
         media.get_mm_plugin("base", image_token=None).check_media(images=True)
 
 
-# ------------------------------------------------------------------ images
+# images:
 def _image(pixels, path="p"):
     return (bytearray(im.encode(pixels)), path, pixels.shape[1], pixels.shape[0], "RGB")
 
@@ -344,7 +344,7 @@ def test_text_toxicity(spark):
     assert ids(run(df, {"type": "text_toxicity_filter", "toxicity_threshold": 0.4})) == [1, 2, 3, 4]  # the default lexicon
 
 
-# ------------------------------------------------------------------ sampling, packing
+# sampling, packing:
 def test_sampling(spark):
     df = spark.range(100).withColumnRenamed("id", "id")
     a, b = (ids(run(df.repartition(n), {"type": "random_sampler", "sample_size": 10})) for n in (1, 7))
@@ -396,7 +396,7 @@ def test_packer(spark, seed):
     assert sorted(r["text"] for r in out.collect()) == _fold(rows, 12, 20, 1)
 
 
-# ------------------------------------------------------------------ configuration, sources, sinks
+# configuration, sources, sinks:
 def test_config(tmp_path):
     cfg = load_config({"datasets": [{"path": "a"}], "x": 1}, ["datasets.0.path=b", "y.z=[1, 2]", "datasets.1.path=c"])
     assert cfg == {"datasets": [{"path": "b"}, {"path": "c"}], "x": 1, "y": {"z": [1, 2]}}
@@ -445,7 +445,7 @@ def test_prepare_and_save(spark, tmp_path):
     path = export(done.train, f"{tmp_path}/export", cfg)
     assert (tmp_path / "export/org/set-1/README.md").read_text().startswith("---\nlicense: mit") and spark.read.parquet(f"{path}/data").count() == 27
     with pytest.raises(ValueError):
-        validate_export({"hf_upload": {"enabled": True, "organization": "a b", "dataset_name": "x"}})
+        validate_export({"export": {"dataset_name": "x", "organization": "a b", "enabled": True}})
     assert validate_export({}) is None and size_category(5_000) == "1K<n<10K" and "rows: 3" in dataset_card("n", {}, {"rows": 3})
 
 
