@@ -39,7 +39,7 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ------------------------------------------------------------------- hashing
+# hashing:
 #: ASCII letters and digits and every byte of a non-ASCII character.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *range(128, 256)]] = True

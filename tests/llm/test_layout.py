@@ -112,7 +112,7 @@ def test_sharding(spark, nasty):
     assert sharding.shard(nasty.where("false")).count() == 0
 
 
-# ---------------------------------------------------------------- the pipeline
+# the pipeline:
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     docs = table(spark, DATA, "documents")

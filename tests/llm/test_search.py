@@ -99,7 +99,7 @@ def test_components(spark):
         assert {(r["node"], r["root"]) for r in got} == want
 
 
-# ---------------------------------------------------------------- embeddings
+# embeddings:
 def test_embedding_recall(spark):
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(1500, 64))
@@ -125,7 +125,7 @@ def test_embeddings_edges(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id = 3")).count() == 1
 
 
-# ---------------------------------------------------------------- Wu-Manber
+# Wu-Manber:
 @pytest.mark.parametrize("seed", range(5))
 def test_wu_manber(seed):
     rnd = random.Random(seed)
@@ -155,7 +155,7 @@ def test_decontamination_of_nasty(spark, nasty):
     assert decontamination.find_contaminated(nasty.where("false"), p).count() == 0
 
 
-# ---------------------------------------------------------------- licences
+# licences:
 def test_licenses_brute():
     rnd = random.Random(6)
     index = licenses.Index.build(licenses.TEMPLATES)
