@@ -44,6 +44,69 @@ def ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     return got if got >= cutoff else 0.0
 
 
+class Matcher:
+    """Which texts have a ratio of at least ``cutoff`` to any of a list of strings.
+
+    The strings lie in order of length in blocks; a block's strings share one wide
+    integer, a guard bit above each taking its carry, so a pass over a text gives the
+    LCS with all of them.  A block is passed over if lengths or bags rule all of it out.
+    """
+
+    def __init__(self, strings: list[str], cutoff: float, rows: int = 64, chars: int = 1 << 15):
+        self.cutoff, self.blocks = cutoff, []
+        known, at = sorted(set(strings), key=lambda x: (len(x), x)), 0
+        while at < len(known):
+            to, total = at + 1, len(known[at])
+            while to < len(known) and to - at < rows and total + len(known[to]) <= chars:
+                total += len(known[to])
+                to += 1
+            self.blocks.append(self._block(known[at:to]))
+            at = to
+
+    @staticmethod
+    def _block(strings: list[str]) -> tuple:
+        places: dict[str, list[int]] = {}
+        starts, at, full = [], 0, 0
+        for t in strings:
+            starts.append(at)
+            for i, c in enumerate(t):
+                places.setdefault(c, []).append(at + i)
+            full |= ((1 << len(t)) - 1) << at
+            at += len(t) + 1
+        masks = {}
+        for c, bits in places.items():
+            wide = bytearray(at // 8 + 1)
+            for b in bits:
+                wide[b >> 3] |= 1 << (b & 7)
+            masks[c] = int.from_bytes(wide, "little")
+        return np.array([len(t) for t in strings]), bag(pd.Series(strings)), starts, masks, full
+
+    def hit(self, text: str) -> bool:
+        own = None
+        for lengths, bags, starts, masks, full in self.blocks:
+            total = lengths + len(text)
+            least = self.cutoff * total - 1e-6
+            ok = 200.0 * np.minimum(lengths, len(text)) >= least
+            ok |= total == 0
+            if not ok.any():
+                continue
+            own = bag(pd.Series([text]))[0] if own is None else own
+            ok &= (200.0 * np.minimum(bags, own).sum(axis=1) >= least) | (total == 0)
+            if not ok.any():
+                continue
+            s = full
+            for c in text:
+                u = s & masks.get(c, 0)
+                if u:
+                    s = ((s + u) | (s - u)) & full
+            for k in np.flatnonzero(ok).tolist():
+                m = int(lengths[k])
+                got = 200.0 * (m - ((s >> starts[k]) & ((1 << m) - 1)).bit_count()) / int(total[k]) if total[k] else 100.0
+                if got >= self.cutoff:
+                    return True
+        return False
+
+
 def ratio_column(a: Column, b: Column, cutoff: float = 0.0) -> Column:
     @F.pandas_udf("double")
     def scored(x: pd.Series, y: pd.Series) -> pd.Series:

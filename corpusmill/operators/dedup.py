@@ -19,6 +19,7 @@ import logging
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ LOG = logging.getLogger(__name__)
 METHODS = ("fuzzy", "ngram", "combined")
 #: An external side with up to this many rows is sent to the tasks; beyond it, it is shuffled.
 BROADCAST_ROWS = 10_000
+#: The same for the characters of an external side's strings.
+BROADCAST_CHARS = 4 << 20
 
 
 def similar_strings(left: DataFrame, right: DataFrame, threshold: float, same: bool) -> DataFrame:
@@ -134,11 +137,34 @@ def ngram_removed(rows: DataFrame, tokenizer: TokenizerSpec, n: int, threshold:
 
 def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: float) -> DataFrame:
     """Rows with a ratio of at least the threshold to an external string."""
+    theirs = external.where("s is not null").select("s").distinct()
+    size = theirs.agg(F.count("*").alias("n"), F.sum(F.length("s").cast("long")).alias("chars"), F.min(F.length("s")).alias("least"), F.max(F.length("s")).alias("most")).first()
+    if size["n"] and size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS:
+        return _near_a_few(rows, [r["s"] for r in theirs.collect()], threshold, size["least"], size["most"])
     strings = rows.where("s is not null").select("s").distinct()
-    hit = similar_strings(strings, external.where("s is not null"), threshold, same=False).select(F.col("a").alias("s")).distinct()
+    hit = similar_strings(strings, theirs, threshold, same=False).select(F.col("a").alias("s")).distinct()
     return rows.join(hit, "s", "left_semi").select(ROW_ID)
 
 
+def _near_a_few(rows: DataFrame, strings: list[str], threshold: float, least: int, most: int) -> DataFrame:
+    """The same by a scan without a shuffle: the strings are sent, and texts too short or too long for any don't leave the JVM."""
+    sent = rows.sparkSession.sparkContext.broadcast(strings)
+    made: list[similarity.Matcher] = []
+
+    @F.arrow_udf("boolean")
+    def near(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(similarity.Matcher(sent.value, threshold))
+        return pa.array([made[0].hit(t.as_py()) for t in texts], pa.bool_())
+
+    n = F.length("s")
+    rows = rows.where("s is not null")
+    if threshold > 0:
+        f = (200 - threshold) / threshold
+        rows = rows.where((n >= least / f - 1e-6) & (n <= most * f + 1e-6)) if f > 0 else rows.where((n >= least) & (n <= most) & F.lit(threshold <= 100))
+    return rows.where(near("s")).select(ROW_ID)
+
+
 def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """Rows that share a gram with an external text, whatever the threshold."""
     theirs = grams_of(external, tokenizer, n).select(F.explode("grams").alias("g")).distinct()

@@ -340,11 +340,23 @@ def decontaminate_ngram(spark, d):
     return rows.join(dedup.external_ngram_removed(rows, theirs, TOKENS, 8), ROW_ID, "left_anti").select(F.col(ROW_ID).alias("doc_id"))
 
 
+#: Of whole texts: unrelated ones of a language reach some 50, as they share its letters.
+FUZZY_TEXTS = 70.0
+
+
+@query()
+def decontaminate_fuzzy(spark, d):
+    """Documents that are no near copy of a benchmark item as a whole; no SQL, as the texts are longer than LCS's 62 bits."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias(ROW_ID), F.col("text").alias("s"))
+    theirs = table(spark, d, "benchmark").select(F.col("text").alias("s"))
+    return rows.join(dedup.external_fuzzy_removed(rows, theirs, FUZZY_TEXTS), ROW_ID, "left_anti").select(F.col(ROW_ID).alias("doc_id"))
+
+
 _LANDS = "(select distinct n_name as a, r_name as b from nation, region)"
 
 
 @query(f"select n_nationkey, n_name from nation where n_name not in (select a from {sql_scores(_LANDS)} where score >= 33)")
-def decontaminate_fuzzy(spark, d):
+def decontaminate_fuzzy_names(spark, d):
     nation = table(spark, d, "nation")
     rows = nation.select(F.col("n_nationkey").alias(ROW_ID), F.col("n_name").alias("s"))
     theirs = table(spark, d, "region").select(F.col("r_name").alias("s"))
