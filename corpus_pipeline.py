@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontamination, jaccard_join, language_id, packing, quality
+from corpusmill.llm import decontamination, jaccard_join, language_id, packing, quality, token_counts
 from corpusmill.llm.common import Workspace, table
 
 
@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, tokens=token_counts.bpe_tokens())
 
 
 STAGES = [

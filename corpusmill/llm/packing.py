@@ -9,6 +9,10 @@ with the least cost per token that a greedy filling from the items still to come
 would give it.  At the end each bin is cut down to the shortest permitted length
 that holds its contents.
 
+Lengths are in tokens of ``tokens``: op4 and the pipeline give the byte-level BPE
+count of ``token_counts``.  Without it a text's tokens are runs of letters or digits
+and single symbols, for sizes that needn't hold under a vocabulary.
+
 Cases: null and empty texts have no token and are in no bin; null ids are one
 group; rows that repeat an id are packed each; ties go by id (null first), then to
 the bin opened first; other columns are ignored; an empty table gives no bin.

@@ -26,13 +26,15 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF_CHARS = 256
+PART_CHARS = 1 << 16
 _CUT = re.compile(r"(?<=\S)[ \n]")
 
 #: What the query edits out: addresses, telephone numbers and licence lines, as a cleaning step would.
@@ -62,11 +64,11 @@ def _is_cut(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at] in " \n" and not text[at - 1].isspace()
 
 
-def leaf_ends(text: str, start: int = 0, end: int | None = None) -> list[int]:
-    """Ends of the leaves of text[start:end]: the first cut at least LEAF_CHARS after the last."""
+def leaf_ends(text: str, start: int = 0, end: int | None = None, chars: int = LEAF_CHARS) -> list[int]:
+    """Ends of the leaves of text[start:end]: the first cut at least ``chars`` after the last."""
     end = len(text) if end is None else end
     out, at = [], start
-    while (m := _CUT.search(text, at + LEAF_CHARS, end)) is not None:
+    while (m := _CUT.search(text, at + chars, end)) is not None:
         out.append(at := m.start())
     return [*out, end]
 
@@ -178,6 +180,21 @@ class TokenTree:
         return self
 
 
+def bpe_tokens(text: str = "text", vocabulary: str = VOCABULARY) -> Column:
+    """Tokens of whole texts under the vocabulary; null and empty text: 0.  A text is encoded in parts of about PART_CHARS."""
+
+    @F.arrow_udf("long")
+    def counted(texts: pa.Array) -> pa.Array:
+        count, out = counter(vocabulary), []
+        for t in texts:
+            t = t.as_py() or ""
+            ends = leaf_ends(t, chars=PART_CHARS)
+            out.append(sum(count([t[a:b] for a, b in zip([0, *ends[:-1]], ends)])))
+        return pa.array(out, pa.int64())
+
+    return counted(F.col(text).cast("string"))
+
+
 def find_edits(text: str, rules: Iterable[tuple[str, str]] = EDITS) -> list[Edit]:
     return [(*m.span(), new) for pattern, new in rules for m in re.finditer(pattern, text)]
 
