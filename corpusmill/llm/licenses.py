@@ -8,6 +8,10 @@ of bands is the least with which a window that holds ``CONTAINMENT`` of a templa
 is a candidate with probability of at least ``RECALL``.  Candidates are verified by
 exact containment: the share of the template's shingles that the window has.
 
+TEMPLATES are ten short notices, headers and texts, and the scan covers these only:
+a sibling that isn't listed (LGPL, GPL-2, CC BY-NC-ND, ..) is missed, or reported as
+the listed one with which it shares ``CONTAINMENT`` of the word pairs.
+
 Cases: null and empty texts, and those of one word, have no shingle and match
 nothing; a template of one word is refused; of windows that match the same
 template, the one with the highest containment is reported, the first of equals;
