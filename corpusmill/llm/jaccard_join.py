@@ -12,8 +12,11 @@ A: rarest first; B: by a hash; C: most frequent first.  Postings of A's prefixes
 give candidates; those that share no token of B's and of C's prefixes are dropped,
 and the rest verified on the whole sets.
 
-Tokens are 64-bit hashes.  They are shuffled in packed blocks, one for each range
-of hashes and input slice, so that the shuffle moves some five bytes a token.
+Tokens are hashed to 64 bits and cut to 32 bits besides the number of their range:
+with P ranges, the session's shuffle partitions, n-grams are told apart by
+32 + log2(P) bits, and which of them collide depends on P.  A collision makes two
+texts of at most N words copies.  Tokens are shuffled in packed blocks, one for each
+range of hashes and input slice, so that the shuffle moves some five bytes a token.
 
 Groups of n near copies have n^2 pairs; for groups only those that join two
 components matter.  Within a posting, the texts are tried in rounds against its
