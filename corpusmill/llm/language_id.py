@@ -26,7 +26,8 @@ BLOCK = 4096
 DICTIONARY_BYTES = 256 << 10
 TEXTS_PER_LANGUAGE = 400
 LEVEL = 3
-MIN_MARGIN = 0.005
+#: Of the labelled documents of sf0.1 (dictionaries from the other half), 1.7 % have less; random words of another language, and random letters, don't reach it.
+MIN_MARGIN = 0.05
 SCHEMA = "doc_id long, language string, margin double, accepted boolean"
 
 
