@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import TokenizerSpec
 from ..functions.values import column
@@ -44,6 +45,21 @@ class Fold:
         return self.pack, self.pack
 
 
+def exact_key(df: DataFrame, names: list[str]) -> Column:
+    """One string for each combination of values; no two share one, as each part has its length before it."""
+
+    def part(name: str) -> Column:
+        kind, c = df.select(F.col(name)).schema[0].dataType, F.col(name)
+        if isinstance(kind, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(kind, (T.ArrayType, T.StructType)):
+            c = F.to_json(c, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"})
+        c = c.cast("string")
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+    return F.concat(F.lit(""), *map(part, names))
+
+
 class SamplePacker(Processor):
     """One row for each pack, with the text column only.
 
@@ -75,7 +91,7 @@ class SamplePacker(Processor):
         df = with_row_id(df, c.get("order_by") or self.context.order_by)
         keys = [c["pack_by"]] if isinstance(c.get("pack_by"), str) else list(c.get("pack_by") or [])
         text = column(self.field)
-        rows = df.where(text.isNotNull() & (text != "")).select(F.col(ROW_ID).alias("i"), F.hash(*map(F.col, keys)).alias("g") if keys else F.lit(0).alias("g"), text.alias("t"))
+        rows = df.where(text.isNotNull() & (text != "")).select(F.col(ROW_ID).alias("i"), exact_key(df, keys).alias("g"), text.alias("t"))
         counted = rows.select("g", "i", tokenizer.count(F.col("t")).cast("long").alias("n"))
         least, most, cost = self.least, self.most, self.separator_cost(df, tokenizer)
 
@@ -109,6 +125,6 @@ class SamplePacker(Processor):
 
         # counts are made in parallel; what is moved is (key, order, count)
         ordered = counted.repartition("g").sortWithinPartitions("g", "i") if keys else counted.repartition(1).sortWithinPartitions("i")
-        packs = ordered.mapInPandas(fold, "g int, i long, pack long")
+        packs = ordered.mapInPandas(fold, "g string, i long, pack long")
         joined = rows.join(packs, ["g", "i"]).groupBy("g", "pack").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
         return joined.select(F.array_join(F.transform("parts", lambda p: p["t"]), self.separator).alias(self.field))
