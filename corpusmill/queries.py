@@ -327,8 +327,14 @@ def dedup_ngram(spark, d):
     return docs(spark, d, {"type": "deduplicator", "method": "ngram", "similarity_threshold": 80.0, "ngram_size": 8}).select("doc_id", "source")
 
 
-@query(f"with recursive {_FUZZY}, " + sql_greedy(sql_overlaps("kept", "p_partkey", "p_name", 1, 70), "kept", "p_partkey", "p_partkey, p_name"))
+@query()
 def dedup_combined(spark, d):
+    """Fuzzy, then by 8-grams, over whole documents; no SQL, which compares all pairs, of at most 62 characters."""
+    return docs(spark, d, {"type": "deduplicator", "method": "combined", "similarity_threshold": 80.0, "ngram_size": 8}).select("doc_id", "source")
+
+
+@query(f"with recursive {_FUZZY}, " + sql_greedy(sql_overlaps("kept", "p_partkey", "p_name", 1, 70), "kept", "p_partkey", "p_partkey, p_name"))
+def dedup_combined_names(spark, d):
     spec = {"type": "deduplicator", "method": "combined", "column": "p_name", "similarity_threshold": 70.0, "ngram_size": 1}
     return apply_all(table(spark, d, "part"), [spec], Context(tokenizer=TOKENS, order_by="p_partkey")).select("p_partkey", "p_name")
 
@@ -404,9 +410,17 @@ def random_sample_down(spark, d):
     return docs(spark, d, {"type": "random_sampler", "sample_size": 100}).select("doc_id", "source")
 
 
+@query()
+def random_sample_up(spark, d):
+    """Twice as many draws of whole documents as there are, with replacement: draws of each drawn one, and their characters."""
+    n = table(spark, d, "documents").count()
+    out = docs(spark, d, {"type": "random_sampler", "sample_size": max(1, 2 * n), "allow_upsampling": True})
+    return out.groupBy("doc_id").agg(F.count("*").alias("draws"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("""select n_nationkey, count(*) as draws from (select ('0x' || substr(md5('42|' || k), 1, 15))::bigint % (select count(*) from nation) as r from range(1000) t(k))
 join (select n_nationkey, row_number() over (order by n_nationkey) - 1 as r from nation) using (r) group by 1""")
-def random_sample_up(spark, d):
+def random_sample_up_nations(spark, d):
     out = apply_all(table(spark, d, "nation"), [{"type": "random_sampler", "sample_size": 1000, "allow_upsampling": True}], Context(order_by="n_nationkey"))
     return out.groupBy("n_nationkey").agg(F.count("*").alias("draws"))
 
