@@ -12,17 +12,22 @@ A: rarest first; B: by a hash; C: most frequent first.  Postings of A's prefixes
 give candidates; those that share no token of B's and of C's prefixes are dropped,
 and the rest verified on the whole sets.
 
-Tokens are hashed to 64 bits and cut to 32 bits besides the number of their range:
-with P ranges, the session's shuffle partitions, n-grams are told apart by
-32 + log2(P) bits, and which of them collide depends on P.  A collision makes two
-texts of at most N words copies.  Tokens are shuffled in packed blocks, one for each
-range of hashes and input slice, so that the shuffle moves some five bytes a token.
+Tokens are 64-bit hashes, whatever the number of partitions.  They are shuffled in
+packed blocks, one for each range of hashes and input slice, without the bytes that
+the range's number says.  Tokens that are frequent in some slice are found by a pass
+before: they are told to all tasks, with a number of documents that counts for their
+order, and are spread by text, so no task gets all texts that have one of them.
+
+Order A also bounds a pair: from its first common token on, neither text has more
+than its tokens left to share.  Of tokens with the same texts the first is enough.
 
 Groups of n near copies have n^2 pairs; for groups only those that join two
 components matter.  Within a posting, the texts are tried in rounds against its
 most typical ones (rank 0, then 1-3, 4-15, ...), skipping pairs that are already
 in one component; a posting is done when all of its texts are in one component or
 all ranks have been tried, so every candidate pair is either verified or implied.
+Ranks are found by a limit in each group before the shuffle, the other figures of a
+posting by aggregates, and a join on a long one is split, so it is never one task's.
 
 Cases: null texts, and those without a word, have no set and are in no group; a
 text of 1 to N-1 words has one token, all of it; copies have one set, and are all
@@ -47,6 +52,12 @@ FLUSH_BYTES = 4 << 20
 CHUNK = 1 << 18
 #: Removed ids are sent to every task up to this number, beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: A token of so many texts of a slice, and of one in FREQUENT_SHARE of them, is spread by text.
+FREQUENT_LEAST = 32
+FREQUENT_SHARE = 64
+#: So many of these tokens are sent to every task; others take the usual way, with the same result.
+FREQUENT_MOST = 50_000
+FREQUENT_ORDER = 1 << 30
 
 
 def need(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -72,30 +83,20 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.diff(np.append(s, len(x)))
 
 
-def _emit(parts: int, n: int):
-    def flush(uids, sets):
-        sizes = np.array([len(s) for s in sets])
-        g, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        part = (((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
-        at = np.argsort(part, kind="stable")
-        g, of, part = g[at].astype(np.uint32), of[at], part[at]
-        cols: list[list] = [[], [], [], [], []]
-        for a, k in zip(*_runs(part)):
-            s, run = _runs(of[a : a + k])
-            d = of[a : a + k][s]
-            for c, v in zip(cols, (int(part[a]), uids[d].tobytes(), sizes[d].astype(np.int32).tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes())):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "uid", "size", "run", "gram"])
+def _flushed(texts: str, n: int, flush):
+    """A function of batches that calls ``flush`` on some FLUSH_BYTES of texts at a time, each text once a task."""
 
     def run(batches):
-        uids, sets, held = [], [], 0
+        uids, sets, held, seen = [], [], 0, set()
         for batch in batches:
-            for part in slices(batch, "text"):
-                for u, s in zip(part.column("uid").to_pylist(), token_sets(part.column("text"), n)):
+            for part in slices(batch, texts):
+                new = [k for k, u in enumerate(part.column("uid").to_pylist()) if u not in seen and not seen.add(u)]
+                part = part.take(pa.array(new, pa.int64()))
+                for u, s in zip(part.column("uid").to_pylist(), token_sets(part.column(texts), n)):
                     if len(s):
                         uids.append(u)
                         sets.append(s)
-                held += part.column("text").nbytes
+                held += part.column(texts).nbytes
                 if held >= FLUSH_BYTES and sets:
                     yield flush(np.array(uids, np.int64), sets)
                     uids, sets, held = [], [], 0
@@ -105,49 +106,120 @@ def _emit(parts: int, n: int):
     return run
 
 
+def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, order) of those that are frequent in a slice: ascending tokens, and their texts in such slices."""
+
+    def flush(uids, sets):
+        g = np.sort(np.concatenate(sets))
+        s, k = _runs(g)
+        many = k >= max(FREQUENT_LEAST, len(sets) / FREQUENT_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array(signed(g[s[many]]), pa.int64()), pa.array(k[many], pa.int64())], names=["token", "texts"])
+
+    counted = docs.mapInArrow(_flushed("text", n, flush), "token long, texts long").groupBy("token").agg(F.sum("texts").alias("texts"))
+    rows = counted.orderBy(F.desc("texts"), "token").limit(FREQUENT_MOST).toArrow()
+    token, texts = rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("texts").to_numpy()
+    at = np.argsort(token)
+    return token[at], (FREQUENT_ORDER + np.minimum(texts[at], FREQUENT_ORDER - 1)).astype(np.int32)
+
+
+def _find(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of values in an ascending array."""
+    if not len(among):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return at, among[at] == x
+
+
+def _bits(parts: int) -> int:
+    """Ranges of tokens are told by so many upper bits."""
+    return parts.bit_length() - 1
+
+
+def _cut(g: np.ndarray, bits: int) -> bytes:
+    """Tokens of one range without whole bytes of the upper bits."""
+    return g.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes()
+
+
+def _whole(data: bytes, number: int, bits: int) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8).reshape(-1, 8 - bits // 8)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
+    g = out.view(np.uint64).ravel()
+    return g | np.uint64((number << (64 - bits)) & (0xFFFFFFFFFFFFFFFF << (8 * x.shape[1])) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _emit(parts: int, n: int, frequent):
+    bits = _bits(parts)
+
+    def flush(uids, sets):
+        sizes = np.array([len(s) for s in sets])
+        g, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        part = (g >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(g), np.int32)
+        _, often = _find(frequent.value[0], g)
+        part[often] = (1 << bits) + (mix(uids[of[often]].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        at = np.argsort(part, kind="stable")
+        g, of, part = g[at], of[at], part[at]
+        cols: list[list] = [[], [], [], [], []]
+        for a, k in zip(*_runs(part)):
+            s, run = _runs(of[a : a + k])
+            d, number = of[a : a + k][s], int(part[a])
+            for c, v in zip(cols, (number, uids[d].tobytes(), sizes[d].astype(np.int32).tobytes(), run.astype(np.int32).tobytes(), _cut(g[a : a + k], bits if number < 1 << bits else 0))):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "uid", "size", "run", "gram"])
+
+    return _flushed("text", n, flush)
+
+
 def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]
 
 
-def _shared(parts: int):
+def _shared(parts: int, frequent):
     """Of one range of tokens: those of several texts, with their document frequency, packed by text."""
+    bits = _bits(parts)
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("part")[0].as_py()
+        often = number >= 1 << bits
         uids, sizes, runs = (np.concatenate(_column(table, c, t)) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
-        g = np.concatenate(_column(table, "gram", np.uint32))
+        g = np.concatenate([_whole(x, number, 0 if often else bits) for x in table.column("gram").to_pylist()])
         del table
-        s = np.sort(g)
-        many = np.unique(s[1:][s[1:] == s[:-1]])
-        del s
-        # most tokens have one text: only the others are told whose they are
-        found = [np.zeros(0, np.int64)]
-        for k in range(0, len(g) if len(many) else 0, CHUNK):
-            x = g[k : k + CHUNK]
-            found.append(np.flatnonzero(many[np.minimum(np.searchsorted(many, x), len(many) - 1)] == x) + k)
-        at = np.concatenate(found)
+        if often:
+            at = np.arange(len(g))
+        else:
+            s = np.sort(g)
+            many = np.unique(s[1:][s[1:] == s[:-1]])
+            del s
+            # most tokens have one text: only the others are told whose they are
+            found = [np.zeros(0, np.int64)]
+            for k in range(0, len(g) if len(many) else 0, CHUNK):
+                found.append(np.flatnonzero(_find(many, g[k : k + CHUNK])[1]) + k)
+            at = np.concatenate(found)
         which = np.searchsorted(np.cumsum(runs), at, side="right")
         g, uid, size = g[at], uids[which], sizes[which]
-        df = np.zeros(0, np.int64)
+        df = np.zeros(0, np.int32)
         if len(g):
             at = np.lexsort((uid, g))
             g, uid, size = g[at], uid[at], size[at]
             new = np.concatenate([[True], (g[1:] != g[:-1]) | (uid[1:] != uid[:-1])])  # copies have one set
             g, uid, size = g[new], uid[new], size[new]
-            _, k = _runs(g)
-            df = np.repeat(k, k)
-            keep = df > 1
-            g, uid, size, df = g[keep], uid[keep], size[keep], df[keep]
+            if often:
+                df = frequent.value[1][_find(frequent.value[0], g)[0]]
+            else:
+                _, k = _runs(g)
+                df = np.repeat(k, k)
+                keep = df > 1
+                g, uid, size, df = g[keep], uid[keep], size[keep], df[keep]
         to = (mix(uid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         at = np.lexsort((uid, to))
         g, uid, size, df, to = g[at], uid[at], size[at], df[at], to[at]
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         for a, k in zip(*_runs(to)):
             s, run = _runs(uid[a : a + k])
-            for c, v in zip(cols, (int(to[a]), number, uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
+            for c, v in zip(cols, (int(to[a]), uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
                 c.append(v)
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["to", "part", "uid", "size", "run", "gram", "df"])
+        return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["to", "uid", "size", "run", "gram", "df"])
 
     return run
 
@@ -156,50 +228,101 @@ def _assemble(threshold: float):
     """Of one range of texts: those that can have a partner, with their shared tokens in order A."""
 
     def run(table: pa.Table) -> pa.Table:
-        run_list = _column(table, "run", np.int32)
-        runs = np.concatenate(run_list)
+        runs = np.concatenate(_column(table, "run", np.int32))
         uid, size = (np.repeat(np.concatenate(_column(table, c, t)), runs) for c, t in (("uid", np.int64), ("size", np.int32)))
-        high = np.repeat(np.array(table.column("part").to_pylist(), np.uint64), [int(r.sum()) for r in run_list])
-        g = (high << np.uint64(32)) | np.concatenate(_column(table, "gram", np.uint32))
-        df = np.concatenate(_column(table, "df", np.int32))
+        g, df = np.concatenate(_column(table, "gram", np.uint64)), np.concatenate(_column(table, "df", np.int32))
+        del table
         s, k = _runs(uid[(at := np.argsort(uid, kind="stable"))])
         ok = k >= need(size[at][s], threshold)
-        keep = np.repeat(ok, k)
-        at = at[keep]
+        at = at[np.repeat(ok, k)]
         g, df, uid, size = g[at], df[at], uid[at], size[at]
         at = np.lexsort((g, df, uid))
-        g, df, uid, size = g[at], df[at], uid[at], size[at]
+        g, uid, size = g[at], uid[at], size[at]
         s, k = _runs(uid)
-        prefix = k - need(size[s], threshold) + 1
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([
-            pa.array(uid[s], pa.int64()), pa.array(size[s], pa.int32()), pa.array(1 - k / np.maximum(size[s], 1), pa.float64()),
-            pa.array([signed(g[a : a + p]).tolist() for a, p in zip(s, prefix)], pa.list_(pa.int64())),
-            pa.array([g[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary()), pa.array([df[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary()),
-        ], names=["uid", "size", "alone", "prefix", "tokens", "df"])
+        return pa.Table.from_arrays([pa.array(uid[s], pa.int64()), pa.array(size[s], pa.int32()), pa.array([g[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary())], names=["uid", "size", "tokens"])
 
     return run
 
 
-def prepare(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(uid, size, alone, prefix, tokens, df) of each distinct text that can have a partner, written to the workspace.
+def prepare(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(uid, size, tokens) of each distinct text that can have a partner, with its shared tokens in order A; and postings.
 
-    ``docs`` has uid and text; ``alone`` is the share of tokens that no other text has.
+    ``docs`` has uid and text; both results are written to the workspace.
     """
-    small_batches(docs)
-    parts = n_parts(docs.sparkSession)
-    packed = docs.mapInArrow(_emit(parts, n), "part int, uid binary, size binary, run binary, gram binary")
-    shared = packed.groupBy("part").applyInArrow(_shared(parts), "to int, part int, uid binary, size binary, run binary, gram binary, df binary")
-    sets = shared.groupBy("to").applyInArrow(_assemble(threshold), "uid long, size int, alone double, prefix array<long>, tokens binary, df binary")
-    return ws.save(sets, "sets")
+    spark = docs.sparkSession
+    docs = small_batches(docs)
+    parts = n_parts(spark)
+    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, n))  # FREQUENT_MOST at most
+    packed = docs.mapInArrow(_emit(parts, n, frequent), "part int, uid binary, size binary, run binary, gram binary")
+    shared = packed.groupBy("part").applyInArrow(_shared(parts, frequent), "to int, uid binary, size binary, run binary, gram binary, df binary")
+    sets = ws.save(shared.groupBy("to").applyInArrow(_assemble(threshold), "uid long, size int, tokens binary"), "sets")
+    prefixes = sets.mapInArrow(_prefixes(parts, threshold, frequent), "part int, token binary, uid binary, size binary, rest binary, alone binary")
+    postings = prefixes.groupBy("part").applyInArrow(_lists(parts), "token long, uid long, size int, rest int, alone float")
+    return sets, ws.save(postings, "postings")
+
+
+POSTING = (("token", np.uint64), ("uid", np.int64), ("size", np.int32), ("rest", np.int32), ("alone", np.float32))
+
+
+def _prefixes(parts: int, threshold: float, frequent):
+    """Of some texts: the tokens of A's prefixes, packed by range, with what is left from each on; frequent ones by text."""
+    bits = _bits(parts)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid, size = batch.column("uid").to_numpy(), batch.column("size").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+            k = np.array([len(x) for x in sets])
+            most = k - need(size, threshold) + 1
+            token = np.concatenate([x[:m] for x, m in zip(sets, most)])
+            of = np.repeat(np.arange(len(sets)), most)
+            rest = np.concatenate([np.arange(c, c - m, -1) for c, m in zip(k, most)])
+            part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
+            often = _find(frequent.value[0], token)[1]
+            part[often] = (1 << bits) + (mix(uid[of[often]].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            at = np.argsort(part, kind="stable")
+            part, of = part[at], of[at]
+            values = (token[at], uid[of], size[of], rest[at], (1 - k / size)[of])
+            rows = [(int(part[a]), *(v[a : a + c].astype(t).tobytes() for v, (_, t) in zip(values, POSTING))) for a, c in zip(*_runs(part))]
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", *(c for c, _ in POSTING)])
+
+    return run
+
+
+def _lists(parts: int):
+    """Of one range of tokens: those with several texts, and of those with the same texts the first in order A."""
+    bits = _bits(parts)
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [np.concatenate(_column(table, c, t)) for c, t in POSTING]
+        if table.column("part")[0].as_py() < 1 << bits and len(cols[0]):
+            at = np.lexsort((cols[1], cols[0]))
+            cols = [c[at] for c in cols]
+            token, uid, _, rest, _ = cols
+            s, k = _runs(token)
+            with np.errstate(over="ignore"):
+                x, y = (np.add.reduceat(mix(uid.view(np.uint64) ^ np.uint64(m)), s) for m in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+            order = np.lexsort((-rest[s], y, x, k))
+            first = np.ones(len(s), bool)
+            first[1:] = (k[order][1:] != k[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+            keep = np.zeros(len(s), bool)
+            keep[order] = first
+            cols = [c[np.repeat(keep & (k > 1), k)] for c in cols]
+        return pa.Table.from_arrays([pa.array(c.view(np.int64) if t is np.uint64 else c) for c, (_, t) in zip(cols, POSTING)], names=[c for c, _ in POSTING])
+
+    return run
 
 
 def _verify(threshold: float):
     """Intersects the prefix filters of orders B and C, then the sets."""
 
-    def prefixes(tokens, df, size):
+    def prefixes(tokens, size):
         k = len(tokens) - int(need(size, threshold)) + 1
-        return tokens[np.argpartition(mix(tokens), k - 1)[:k]] if k < len(tokens) else tokens, tokens[np.lexsort((tokens, -df))[:k]]
+        return tokens[np.argpartition(mix(tokens), k - 1)[:k]] if k < len(tokens) else tokens, tokens[len(tokens) - k :]
 
     def run(batches):
         kept: dict[int, tuple] = {}
@@ -212,8 +335,8 @@ def _verify(threshold: float):
                 if u not in kept:
                     if len(kept) > 256:
                         kept.clear()
-                    t, df = np.frombuffer(rows[f"{c}_tokens"][r], np.uint64), np.frombuffer(rows[f"{c}_df"][r], np.int32)
-                    kept[u] = (np.sort(t), *(np.sort(p) for p in prefixes(t, df, rows[f"{c}_size"][r])))
+                    t = np.frombuffer(rows[f"{c}_tokens"][r], np.uint64)
+                    kept[u] = (np.sort(t), *(np.sort(p) for p in prefixes(t, rows[f"{c}_size"][r])))
                 return kept[u]
 
             for r in range(batch.num_rows):
@@ -244,35 +367,45 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 def verify(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the candidate pairs (a, b) that are similar enough."""
     for c in "ab":
-        pairs = pairs.join(sets.select(F.col("uid").alias(c), F.col("size").alias(f"{c}_size"), F.col("tokens").alias(f"{c}_tokens"), F.col("df").alias(f"{c}_df")), c)
+        pairs = pairs.join(sets.select(F.col("uid").alias(c), F.col("size").alias(f"{c}_size"), F.col("tokens").alias(f"{c}_tokens")), c)
     # a row is two sets: few rows to a batch
-    return pairs.select("a", "b", *(f"{c}_{k}" for c in "ab" for k in ("size", "tokens", "df"))).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+    return pairs.select("a", "b", *(f"{c}_{k}" for c in "ab" for k in ("size", "tokens"))).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("uid", "size", "alone", F.explode("prefix").alias("token"))
+def _can_match(threshold: float) -> str:
+    """Of the texts a and b with a common token: sizes m and n that fit, and enough left from the token on."""
+    return f"least(m, n) >= {threshold} * greatest(m, n) - 1e-9 and least(ra, rb) >= {threshold / (1 + threshold)} * (m + n) - 1e-6"
+
+
+def _sides(p: DataFrame, q: DataFrame, *more: str) -> DataFrame:
+    a = p.select("token", F.col("uid").alias("a"), F.col("size").alias("m"), F.col("rest").alias("ra"), *(F.col(c).alias(f"a_{c}") for c in more))
+    return a.join(q.select("token", F.col("uid").alias("b"), F.col("size").alias("n"), F.col("rest").alias("rb"), *(F.col(c).alias(f"b_{c}") for c in more)), "token")
 
 
 def similar_pairs(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct texts (a < b, by uid) with their similarity: the join itself, quadratic within groups."""
-    sets = prepare(ws, docs, n, threshold)
-    p = _postings(sets)
-    pairs = p.select("token", F.col("uid").alias("a"), F.col("size").alias("m")).join(p.select("token", F.col("uid").alias("b"), F.col("size").alias("n")), "token")
-    pairs = pairs.where(f"a < b and least(m, n) >= {threshold} * greatest(m, n) - 1e-9").select("a", "b").distinct()
-    return verify(sets, pairs, threshold)
+    sets, p = prepare(ws, docs, n, threshold)
+    return verify(sets, _sides(p, p).where(f"a < b and {_can_match(threshold)}").select("a", "b").distinct(), threshold)
+
+
+def _open(active: DataFrame, tried: int) -> DataFrame:
+    """Postings with texts of several components and ranks that haven't been tried: figures of a posting are aggregates."""
+    left = active.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(f"c > {tried} + 1 and x <> y").select("token")
+    return active.join(left, "token", "left_semi")
 
 
 def groups(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): the component of each distinct text (uid) that is linked to a smaller one."""
-    sets = prepare(ws, docs, n, threshold)
-    by_rank = Window.partitionBy("token").orderBy("alone", "uid")
-    active = _postings(sets).withColumn("rank", F.row_number().over(by_rank) - 1).withColumn("comp", F.col("uid"))
-    active = active.withColumn("last", F.count("*").over(Window.partitionBy("token")) - 1).where("last > 0").select("token", "uid", "size", "rank", "last", "comp")
-    active, found, lo, hi, step = ws.save(active, "active-0"), None, 0, 1, 0
-    while not active.isEmpty():
-        p = active.where(f"rank >= {lo} and rank < {hi}").select("token", F.col("uid").alias("a"), F.col("size").alias("m"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        q = active.select("token", F.col("uid").alias("b"), F.col("size").alias("n"), "rank", "comp")
-        pairs = p.join(q, "token").where(f"r < rank and c <> comp and least(m, n) >= {threshold} * greatest(m, n) - 1e-9")
+    sets, postings = prepare(ws, docs, n, threshold)
+    active, found, lo, hi, step = postings.withColumn("comp", F.col("uid")), None, 0, 1, 0
+    while True:
+        active = ws.save(_open(active, lo), f"active-{step}")
+        ws.drop(f"active-{step - 1}" if step else "postings")
+        if active.isEmpty():
+            break
+        rank = F.row_number().over(Window.partitionBy("token").orderBy("alone", "uid"))
+        p = active.withColumn("rank", rank).where(f"rank <= {hi}").where(f"rank > {lo}")
+        pairs = _sides(p, active, "comp").where(f"a_comp <> b_comp and {_can_match(threshold)}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = ws.save(verify(sets, pairs, threshold).select("a", "b"), f"edges-{step}")
         if found is not None:
@@ -280,14 +413,12 @@ def groups(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESH
             edges = relabel(ab.select("root", F.col("a").alias("node")), found).select(F.col("node").alias("a"), F.col("root").alias("b"))
         new = components(ws, edges, f"cc-{step}")
         found = ws.save(new if found is None else relabel(found, new).unionByName(new), f"found-{step}")
+        for name in (f"edges-{step}", f"cc-{step}", *([f"found-{step - 1}"] if step else [])):
+            ws.drop(name)
         up = found.select(F.col("node").alias("uid"), F.col("root").alias("up"))
-        left = active.drop("comp").join(up, "uid", "left").select("token", "uid", "size", "rank", "last", F.coalesce("up", "uid").alias("comp"))
-        whole = Window.partitionBy("token")
-        left = left.where(f"last >= {hi}").withColumn("least", F.min("comp").over(whole)).withColumn("most", F.max("comp").over(whole)).where("least <> most").drop("least", "most")
-        step += 1
-        active = ws.save(left, f"active-{step}")
-        ws.drop(f"active-{step - 1}")
-        lo, hi = hi, 4 * hi
+        active = active.drop("comp").join(up, "uid", "left").withColumn("comp", F.coalesce("up", "uid")).drop("up")
+        lo, hi, step = hi, 4 * hi, step + 1
+    ws.drop("sets")
     if found is None:
         found = docs.sparkSession.createDataFrame([], "node long, root long")
     return found
@@ -304,11 +435,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     ws = Workspace(docs.sparkSession)
     keyed = _keyed(docs)
     found = groups(ws, keyed.select("uid", "text"), n, threshold)
-    ws.drop("sets")
-    named = keyed.select("doc_id", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").select("doc_id", F.coalesce("root", "uid").alias("root"))
-    whole = Window.partitionBy("root")
-    named = named.withColumn("n", F.count("*").over(whole)).withColumn("first", F.min(F.struct("doc_id")).over(whole)).where("n > 1")
-    return named.select("doc_id", F.col("first.doc_id").alias("group_id"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"))
+    named = ws.save(keyed.select("doc_id", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").select("doc_id", F.coalesce("root", "uid").alias("root")), "named")
+    whole = named.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id")).alias("first")).where("n > 1")
+    return named.join(whole, "root").select("doc_id", F.col("first.doc_id").alias("group_id"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -316,10 +445,10 @@ def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     ws = Workspace(docs.sparkSession)
     keyed = _keyed(docs)
     found = groups(ws, keyed.select("uid", "text"), n, threshold)
-    ws.drop("sets")
-    rows = keyed.select("doc_id", "uid").groupBy("doc_id", "uid").count().join(found.withColumnRenamed("node", "uid"), "uid", "left")
-    whole = Window.partitionBy(F.coalesce("root", "uid"))
-    rows = rows.withColumn("first", F.min(F.struct("doc_id", "uid")).over(whole)).withColumn("stays", F.struct("doc_id", "uid").eqNullSafe(F.col("first")))
+    rows = keyed.groupBy("doc_id", "uid").count().join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rows = ws.save(rows, "rows")
+    whole = rows.groupBy("root").agg(F.count("*").alias("n"), F.max("count").alias("most"), F.min(F.struct("doc_id", "uid")).alias("first")).where("n > 1 or most > 1")
+    rows = rows.join(whole, "root").withColumn("stays", F.struct("doc_id", "uid").eqNullSafe(F.col("first")))
     out = ws.save(rows.where("not stays or count > 1").select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "stays"), "out")
     sizes = out.groupBy("stays").count().collect()
     small = sum(r["count"] for r in sizes) <= BROADCAST_ROWS
