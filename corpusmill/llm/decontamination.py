@@ -8,16 +8,24 @@ how far the window may skip; at shift 0 the buckets of the block's hash and a
 hash of the first bytes select patterns, and a direct comparison confirms them.
 The search runs in many lanes of a batch at once, each skipping on its own.
 
+The tables of a benchmark are made on the driver and sent to every task; its size is
+asked first, and beyond ``TABLE_BYTES`` its items are spread over several tables, one
+search after the other, so none that is sent grows with the benchmark.
+
 Cases: null and empty texts contain nothing; null or empty benchmark texts, and
-those of fewer than MIN_WORDS words, give no pattern; items with the same passage
-are all reported; a null item_id or doc_id is carried as null; repeated rows are
-reported each; other columns are ignored; with no pattern nothing is found.
+those of fewer than MIN_WORDS words, give no pattern (their number is logged); items
+with the same passage are all reported; a null item_id or doc_id is carried as null;
+repeated rows are reported each; other columns are ignored; with no pattern nothing
+is found.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTE, lower, slices, small_batches, squeeze, text_bytes
 
+LOG = logging.getLogger(__name__)
 WINDOW = 10
+TABLE_BYTES = 8 << 20
 MIN_WORDS = 5
 BLOCK = 6
 TABLE_BITS = 22
@@ -116,10 +126,18 @@ class Patterns:
         return out
 
 
-def build(benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> Patterns:
-    """The benchmark is the small side by nature; its passages come to the driver once, and the tables are sent."""
-    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null").distinct().collect()
-    return Patterns.build(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), window, min_words)
+def build(benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, table_bytes: int = TABLE_BYTES) -> list[Patterns]:
+    """The tables of a benchmark; all rows of an item are in one of them."""
+    rows = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null").distinct()
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, out, short = max(1, math.ceil(total / table_bytes)), [], 0
+    for k in range(parts):
+        got = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect() if parts > 1 else rows.collect()
+        short += sum(0 < len(r[1].split()) < min_words for r in got)
+        out.append(Patterns.build(sorted(((r[0], r[1]) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1])), window, min_words))
+    if short:
+        LOG.warning("%d benchmark texts of fewer than %d words aren't searched for", short, min_words)
+    return out
 
 
 def _hits(texts: pa.Array, patterns: Patterns) -> list[tuple[int, int]]:
@@ -130,10 +148,8 @@ def _hits(texts: pa.Array, patterns: Patterns) -> list[tuple[int, int]]:
     return sorted({(int(d), k) for d, (_, k) in zip(of, found)})
 
 
-def find_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
-    """(doc_id, item_id, windows): for each row of ``docs`` and item, how many different windows of the item it contains."""
-    small_batches(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)
+def _found(docs: DataFrame, patterns: Patterns) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(patterns)  # TABLE_BYTES of texts
 
     def run(batches):
         for batch in batches:
@@ -149,9 +165,13 @@ def find_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, item_id long, windows long")
 
 
-def drop_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
-    """The rows of ``docs`` that contain no pattern, all columns as they are."""
-    small_batches(docs)
+def find_contaminated(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
+    """(doc_id, item_id, windows): for each row of ``docs`` and item, how many different windows of the item it contains."""
+    docs = small_batches(docs)
+    return reduce(DataFrame.unionAll, (_found(docs, t) for t in tables))
+
+
+def _is_clean(docs: DataFrame, patterns: Patterns):
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
 
     @F.arrow_udf("boolean")
@@ -163,7 +183,13 @@ def drop_contaminated(docs: DataFrame, patterns: Patterns) -> DataFrame:
             out.append(ok)
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return docs.where(clean(docs["text"].cast("string")))
+    return clean(docs["text"].cast("string"))
+
+
+def drop_contaminated(docs: DataFrame, tables: list[Patterns]) -> DataFrame:
+    """The rows of ``docs`` that contain no pattern, all columns as they are."""
+    docs = small_batches(docs)
+    return reduce(lambda df, t: df.where(_is_clean(docs, t)), tables, docs)
 
 
 #: The same by SQL: windows by list functions, an equi-join on the window.

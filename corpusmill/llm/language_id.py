@@ -7,14 +7,21 @@ total wins.  Blocks are compressed apart, so that a long text is judged by all o
 its parts and its margin doesn't shrink with its length.  A text is rejected if
 the second smallest total is less than ``MIN_MARGIN`` above the smallest.
 
+With one known language its dictionary is held against none: the margin is what it
+saves.  Without any, as where no row has a ``lang``, there is nothing to judge by:
+every text with letters is accepted, without a language and with margin 0, and a
+warning is logged, so a corpus without labels isn't lost.
+
 Cases: a null or empty text, or one without letters, is rejected with margin 0;
 of equal totals the first language in alphabetical order is named, with margin 0,
-so rejected; with fewer than two known languages the margin is 0; an empty table
+so rejected; a table without a ``lang`` column has no known language; an empty table
 gives an empty result; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTER_BYTE, lower, slices, small_batches, squeeze, text_bytes
 
+LOG = logging.getLogger(__name__)
 BLOCK = 4096
 DICTIONARY_BYTES = 256 << 10
 TEXTS_PER_LANGUAGE = 400
@@ -41,6 +49,8 @@ def dictionaries(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, size:
 
     These bounds don't grow with the corpus; a language's share is set by its count.
     """
+    if "lang" not in docs.columns:
+        return {}
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(text as string) text").where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     chosen = F.lit(False)
@@ -56,7 +66,8 @@ def dictionaries(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, size:
     return out
 
 
-def compressors(model: dict[str, bytes]) -> list[tuple[str, object]]:
+def compressors(model: dict[str, bytes]) -> list[tuple[str | None, object]]:
+    """A compressor of each language; beside a single one, one without a dictionary."""
     import zstandard as z
 
     out = []
@@ -65,7 +76,7 @@ def compressors(model: dict[str, bytes]) -> list[tuple[str, object]]:
         d = z.ZstdCompressionDict(model[k], dict_type=z.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         out.append((k, z.ZstdCompressor(dict_data=d, compression_params=p)))
-    return out
+    return [*out, (None, z.ZstdCompressor(compression_params=p))] if len(out) == 1 else out
 
 
 def classify(texts: pa.Array, tools: list[tuple[str, object]], min_margin: float) -> tuple[list, list, list]:
@@ -74,13 +85,13 @@ def classify(texts: pa.Array, tools: list[tuple[str, object]], min_margin: float
     for a, b in zip(offs, offs[1:]):
         blocks = [data[i : min(i + BLOCK, b)] for i in range(a, b, BLOCK)]
         if b - a < 2 or not tools:
-            names.append(None), margins.append(0.0), accepted.append(False)
+            names.append(None), margins.append(0.0), accepted.append(b - a >= 2)
             continue
         sizes = [sum(len(c.compress(x)) for x in blocks) for _, c in tools]
         best = int(np.argmin(sizes))
         second = min([s for k, s in enumerate(sizes) if k != best], default=sizes[best])
         m = (second - sizes[best]) / sizes[best]
-        names.append(tools[best][0]), margins.append(m), accepted.append(m >= min_margin)
+        names.append(tools[best][0]), margins.append(m), accepted.append(m >= min_margin and tools[best][0] is not None)
     return names, margins, accepted
 
 
@@ -118,5 +129,7 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes] | None = None, min_
     """The rows of ``docs`` whose language is accepted, all columns as they are."""
     small_batches(docs)
     model = dictionaries(docs) if model is None else model
+    if len(model) < 2:
+        LOG.warning("%s: %s", "one language is known" if model else "no language is known", "it is held against none" if model else "all texts with letters stay")
     predicate: Column = is_identified(model, docs.sparkSession, min_margin)(docs["text"].cast("string"))
     return docs.where(predicate)

@@ -13,8 +13,8 @@ Lengths are in tokens of ``tokens``: op4 and the pipeline give the byte-level BP
 count of ``token_counts``.  Without it a text's tokens are runs of letters or digits
 and single symbols, for sizes that needn't hold under a vocabulary.
 
-Cases: null and empty texts have no token and are in no bin; null ids are one
-group; rows that repeat an id are packed each; ties go by id (null first), then to
+Cases: null and empty texts have no token and are in no bin; null ids are
+spread by their number of tokens; rows that repeat an id are packed each; ties go by id (null first), then to
 the bin opened first; other columns are ignored; an empty table gives no bin.
 """
 
@@ -102,5 +102,5 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokens:
     small_batches(docs)
     groups = max(1, math.ceil(docs.count() / group_rows))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (n_tokens() if tokens is None else tokens).alias("n")).where("n > 0")
-    counted = counted.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
+    counted = counted.withColumn("g", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(groups)).cast("long"))
     return counted.groupBy("g").applyInArrow(_pack_group(tuple(lengths)), SCHEMA)

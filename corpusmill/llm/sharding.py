@@ -9,7 +9,7 @@ its (bytes, tokens, rows) with the shard's residual capacity is highest, among t
 shards that have room in all three, else among all.
 
 Cases: a null text has no bytes or tokens but counts as a row; null keys are a
-group of their own; null ids of one group stay together, as do rows that repeat an
+group of their own, and a key column that is missing is null in every row; null ids of one group stay together, as do rows that repeat an
 id; ties go to the unit with the smaller number and to the first shard; other
 columns are ignored; an empty table gives an empty result.
 """
@@ -48,7 +48,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keys: tuple[str, ...] = KEYS) -
     small_batches(docs)
     spark = docs.sparkSession
     ws, fine = Workspace(spark), UNITS_A_SHARD * shards
-    key = F.to_json(F.struct(*(F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys))))
+    key = F.to_json(F.struct(*((F.col(k) if k in docs.columns else F.lit(None)).cast("string").alias(f"k{n}") for n, k in enumerate(keys))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(key).alias("key"), F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(fine)).alias("salt"), F.col("text").cast("string").alias("text"))
     measured = rows.groupBy("key", "salt").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"), F.sum(n_tokens()).alias("tokens"), F.count("*").alias("docs"))
     fine_sums = ws.save(measured, "sums")

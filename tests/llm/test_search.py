@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -155,6 +156,35 @@ def test_embeddings_edges(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id = 3")).count() == 1
 
 
+def test_embeddings_of_any_length(spark):
+    rows = [(1, [1e25, 1e25]), (2, [1e25, 1.0001e25]), (3, [1e-25, 2e-25]), (4, [1.0, 2.0]), (5, [3e38, -3e38]), (6, [1e-44, -1e-44])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["group_id"] for r in embedding_dedup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def test_many_copies_of_a_vector(spark):
+    """20,000 equal vectors are one to the clustering, and thousands of nearly equal ones are joined by blocks."""
+    rnd = np.random.default_rng(9)
+    base, other = rnd.normal(size=64), rnd.normal(size=64)
+    same = [(k, base.tolist()) for k in range(20_000)]
+    near = [(20_000 + k, (other + rnd.normal(size=64) * 0.01).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(same + near, "vec_id long, embedding array<float>").repartition(8)
+    began = time.monotonic()
+    got = {(r["group_id"], r["count"]) for r in embedding_dedup.near_duplicates(df).groupBy("group_id").count().collect()}
+    assert got == {(0, 20_000), (20_000, 3000)} and time.monotonic() - began < 60
+
+
+def test_join_of_labels():
+    rnd = np.random.default_rng(2)
+    for n, m in ((1, 0), (30, 20), (200, 150), (200, 900)):
+        a, b = rnd.integers(0, n, m), rnd.integers(0, n, m)
+        label = np.arange(n)
+        for part in np.array_split(np.arange(m), 3):
+            embedding_dedup.join(label, a[part], b[part])
+        want = roots(range(n), zip(a.tolist(), b.tolist()))
+        assert label.tolist() == [want[k] for k in range(n)]
+
+
 # Wu-Manber:
 @pytest.mark.parametrize("seed", range(5))
 def test_wu_manber(seed):
@@ -180,6 +210,9 @@ def test_decontamination_of_nasty(spark, nasty):
     assert got == {(1, 1), (1, 2), (3, 1), (3, 2), (None, 1), (None, 2), (9, None), (10, None)}
     kept = decontamination.drop_contaminated(nasty, p)
     assert kept.columns == nasty.columns and kept.count() == nasty.count() - 5
+    several = decontamination.build(bench, table_bytes=100)
+    assert len(several) > 2 and {(r["doc_id"], r["item_id"]) for r in decontamination.find_contaminated(nasty, several).collect()} == got
+    assert decontamination.drop_contaminated(nasty, several).count() == kept.count()
     nothing = decontamination.build(bench.where("false"))
     assert decontamination.drop_contaminated(nasty, nothing).count() == nasty.count() and decontamination.find_contaminated(nasty, nothing).count() == 0
     assert decontamination.find_contaminated(nasty.where("false"), p).count() == 0
