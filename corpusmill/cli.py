@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .plans.config import load_config
 from .plans.prepare import prepare
-from .sources.save import debug_rows, export, save_prepared, validate_export
+from .sources.save import debug_rows, export, save_prepared, upload, validate_export
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,8 +20,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--debug-num-examples", type=int, default=0)
     p.add_argument("--limit", type=int)
     p.add_argument("--export-to")
-    for name in ("--prompter", "--hf-token"):  # taken, and without effect here: strategies are named by datasets, and nothing is sent
-        p.add_argument(name)
+    p.add_argument("--upload", action="store_true", help="send what was exported")
+    p.add_argument("--hf-token")
+    p.add_argument("--prompter")  # taken, and without effect: strategies are named by datasets
     for name in ("--download", "--no-download", "--iterable"):
         p.add_argument(name, action="store_true")
     return p
@@ -36,9 +37,12 @@ def main(argv: list[str] | None = None) -> int:
         print(path)
         written = spark.read.parquet(path)
         if args.debug or args.debug_num_examples:
-            rows = written.select([c for c, t in written.dtypes if t == "string"]) if args.debug_text_only else written
-            for row in debug_rows(rows, args.debug_num_examples or 5):
+            rows = written.select([c for c, t in written.dtypes if t == "string"]) if args.debug_text_only and "input_ids" not in written.columns else written
+            for row in debug_rows(rows, args.debug_num_examples or 5, tokenizer=done.context.tokenizer, text_only=args.debug_text_only):
                 print(row)
         if args.export_to and validate_export(cfg) and "/train_" in path:
-            print(export(written, args.export_to, cfg))
+            folder = export(written, args.export_to, cfg, {k: v for k, v in done.context.stats().items() if v})
+            print(folder)
+            if args.upload:
+                print(upload(folder, cfg, args.hf_token))
     return 0

@@ -35,13 +35,34 @@ def build_prompt(style: str, instruction: Column, input: Column | None = None, o
     return F.concat(prompt, F.when(_some(output), F.concat(answer, F.lit(close))).otherwise(""))
 
 
-def get_response(output: Column) -> Column:
-    return output
+def get_response(style: str, text: Column) -> Column:
+    """What follows the last opening of a response in a rendered text; the whole text if there is none."""
+    return F.substring_index(text, RESPONSE_SPLIT[style], -1)
 
 
-def chat_text(messages: Column) -> Column:
-    """The ChatML rendering of [(role, content)]."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))), "")
+#: Chat templates: before all messages, then per message before the role, after it, and after the content; after all.
+TEMPLATES: dict[str, tuple[str, str, str, str, str]] = {
+    "chatml": ("", "<|im_start|>", "\n", "<|im_end|>\n", ""),
+    "llama3": ("<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>", ""),
+    "phi3": ("", "<|", "|>\n", "<|end|>\n", "<|endoftext|>"),
+    "plain": ("", "", ": ", "\n", ""),
+}
+
+
+def template_of(given: str | dict) -> tuple[str, str, str, str, str]:
+    """A template by name, or from its parts: start, before_role, after_role, after_content, end."""
+    if isinstance(given, dict):
+        return tuple(given.get(k, "") for k in ("start", "before_role", "after_role", "after_content", "end"))
+    if given not in TEMPLATES:
+        raise ValueError(f"no chat template is named {given}; there are {', '.join(TEMPLATES)}")
+    return TEMPLATES[given]
+
+
+def chat_text(messages: Column, template: tuple[str, str, str, str, str] = TEMPLATES["chatml"]) -> Column:
+    """[(role, content)] rendered by a template."""
+    start, before, after, close, end = map(F.lit, template)
+    turn = lambda m: F.concat(before, m["role"], after, F.coalesce(m["content"], F.lit("")), close)
+    return F.concat(start, F.array_join(F.transform(messages, turn), ""), end)
 
 
 def conversation_text(messages: Column) -> Column:

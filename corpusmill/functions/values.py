@@ -21,6 +21,14 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def truthy(col: Column, kind: T.DataType) -> Column:
     """What ``if value`` says in Python; never null."""
     if isinstance(kind, T.StringType):

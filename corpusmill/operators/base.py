@@ -25,8 +25,10 @@ class Context:
     instances: dict[str, Processor] = field(default_factory=dict)
     scorers: dict[str, object] = field(default_factory=dict)
     metrics: dict[str, Observation] = field(default_factory=dict)
+    reports: dict[str, dict] = field(default_factory=dict)
     error_mode: str = "raise"
     max_errors: int = 10
+    strict_empty: bool = False
 
     def observe(self, name: str, df: DataFrame, *aggregates: Column) -> DataFrame:
         """Counts that come with the run's own job, never by one more."""
@@ -37,6 +39,17 @@ class Context:
         self.metrics[key] = Observation(key)
         return df.observe(self.metrics[key], *aggregates)
 
+    def stats(self) -> dict[str, dict]:
+        """The counts of each step, once an action has run, with the rates that follow from them."""
+        out = {}
+        for key, observed in self.metrics.items():
+            n = dict(observed.get)
+            if n.get("total") is not None and "filtered" in n:
+                rate = n["filtered"] / n["total"] if n["total"] else 0.0
+                n |= {"filter_rate": rate, "keep_rate": 1.0 - rate}
+            out[key] = n
+        return out
+
 
 class Processor:
     """``transform`` does the work on the rows that meet the condition; the others are kept as they are."""

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..functions.tokens import TokenizerSpec, ngrams
-from ..functions.values import column, computed_once
+from ..functions.tokens import TokenizerSpec
+from ..functions.values import column
 from ..storage import Workspace
 from .base import ROW_ID, Processor, with_row_id
 
@@ -83,11 +83,7 @@ def fuzzy_removed(rows: DataFrame, threshold: float, remove_exact: bool = True,
 
 def grams_of(texts: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     """``texts`` (.., s) with ``grams``: each text's distinct n-grams, hashed."""
-    hashed = tokenizer.gram_hashes(F.col("s"), n)
-    if hashed is not None:
-        return texts.where("s is not null").withColumn("grams", hashed)
-    tokens = computed_once(texts.where("s is not null"), "t", tokenizer.tokens(F.col("s")))
-    return tokens.withColumn("grams", F.array_distinct(F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)))).drop("t")
+    return texts.where("s is not null").withColumn("grams", tokenizer.gram_hashes(F.col("s"), n))
 
 
 def gram_sets(rows: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
@@ -187,29 +183,40 @@ class Deduplicator(Processor):
         self.threshold = float(c.get("similarity_threshold", 90.0))
         self.n = int(c.get("ngram_size", 8))
 
-    def _without(self, df: DataFrame, removed: DataFrame) -> DataFrame:
-        return df.join(removed.distinct(), ROW_ID, "left_anti")
+    def _without(self, df: DataFrame, removed: DataFrame, part: str) -> DataFrame:
+        removed = removed.distinct()
+        if self.config.get("report"):
+            removed = self.ws.save(removed, f"{part}-{len(self.removed)}")
+            self.removed.append((part, removed.count()))
+        return df.join(removed, ROW_ID, "left_anti")
 
     def _rows(self, df: DataFrame) -> DataFrame:
         return df.select(ROW_ID, column(self.column).cast("string").alias("s"))
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """With ``report``, what each part removed is counted from written tables, and kept in ``context.reports``."""
         if self.column not in df.columns:
             raise KeyError(self.column)
         had = ROW_ID in df.columns
         df = with_row_id(df, self.config.get("order_by") or self.context.order_by)
+        self.removed: list[tuple[str, int]] = []
+        if self.config.get("report"):
+            self.ws, total = Workspace(df.sparkSession), df.count()
         tokenizer, exact = self.context.tokenizer, self.config.get("remove_exact", True)
         methods = {"combined": ("fuzzy", "ngram")}.get(self.method, (self.method,))
-        for m in methods:
+        for m in methods if self.config.get("internal", True) else ():
             if m == "ngram" and tokenizer is None:
                 if self.method == "combined":
                     continue  # fuzzy has run already
                 m = "fuzzy"
             removed = fuzzy_removed(self._rows(df), self.threshold, exact, self.config.get("max_matches")) if m == "fuzzy" else ngram_removed(self._rows(df), tokenizer, self.n, self.threshold)
-            df = self._without(df, removed)
+            df = self._without(df, removed, "internal")
         found = [x for e in self.config.get("external_datasets") or [] for x in self._external(df, e, methods)]
         if found:
-            df = self._without(df, reduce(DataFrame.union, found))
+            df = self._without(df, reduce(DataFrame.union, found), "external")
+        if self.config.get("report"):
+            sums = {p: sum(n for q, n in self.removed if p == q) for p in ("internal", "external")}
+            self.context.reports[self.name] = {"rows": total, **sums, "kept": total - sum(sums.values())}
         return df if had else df.drop(ROW_ID)
 
     def _external(self, df: DataFrame, spec: dict | DataFrame, methods: tuple[str, ...]) -> list[DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.images import image_ok, image_readable
-from ..functions.values import column, field, joined_text, truthy
+from ..functions.images import checked, checked_all, image_readable
+from ..functions.values import column, computed_once, condition, field, free_name, joined_text, truthy
 from .base import Filter
 
 MAIN_TEXT = tuple("text content problem question instruction".split())
@@ -21,7 +21,7 @@ def all_of(tests: list[Column]) -> Column | None:
 
 
 def size_within(image: Column, least: list[int] | None, most: list[int] | None) -> Column:
-    """Both sides within inclusive bounds; an image of unknown size passes."""
+    """Both sides within inclusive bounds; an image whose size isn't known passes."""
     tests = [F.coalesce(image["width"] <= most[0], F.lit(True)) & F.coalesce(image["height"] <= most[1], F.lit(True))] if most else []
     tests += [F.coalesce(image["width"] >= least[0], F.lit(True)) & F.coalesce(image["height"] >= least[1], F.lit(True))] if least else []
     return all_of(tests) if tests else F.lit(True)
@@ -57,30 +57,46 @@ class LengthFilter(Filter):
 
 
 class TokenFilter(Filter):
-    """``hf_filter``: token limits on the joined truthy text fields, and image checks; a row without text is dropped."""
+    """``hf_filter``: token limits on the joined truthy text fields, and image checks; a row without text is dropped.
+
+    With ``collect_stats`` a row is counted under every test it fails.
+    """
 
     type = "hf_filter"
     FIELDS = tuple("problem solution question answer text content".split())
 
-    def keep(self, df: DataFrame) -> Column | None:
-        c, tests = self.config, []
+    def tests(self, df: DataFrame) -> dict[str, Column]:
+        """What a row must pass, by the name of the count of those that don't; a test may be null."""
+        c, out = self.config, {}
         tokenizer = self.context.tokenizer
         if tokenizer is not None and (c.get("max_tokens") or c.get("min_tokens")):
             text = joined_text(df, c.get("text_fields") or list(self.FIELDS))
             if text is None:
-                return F.lit(False)
+                return {"no_text_content": F.lit(False)}
             n = tokenizer.count(text)
-            if c.get("max_tokens"):
-                tests.append(n <= c["max_tokens"])
+            out["no_text_content"] = text.isNotNull()
             if c.get("min_tokens"):
-                tests.append(n >= c["min_tokens"])
-        image = field(df, "image")
-        if isinstance(image, T.StructType):
+                out["token_count_too_low"] = n >= c["min_tokens"]
+            if c.get("max_tokens"):
+                out["token_count_too_high"] = n <= c["max_tokens"]
+        if isinstance(field(df, "image"), T.StructType):
+            image, bounds = column("image"), (c.get("min_image_size"), c.get("max_image_size"))
             if c.get("filter_corrupted_images"):
-                tests.append(column("image").isNull() | image_readable(column("image")))
-            if c.get("max_image_size") or c.get("min_image_size"):
-                tests.append(size_within(column("image"), c.get("min_image_size"), c.get("max_image_size")))
-        return F.coalesce(all_of(tests), F.lit(False)) if tests else None
+                out["corrupted_image"] = image.isNull() | image_readable(image)
+            if any(bounds):
+                out["image_size_invalid"] = size_within(checked(image, whole=False), *bounds)
+        return out
+
+    def keep(self, df: DataFrame) -> Column | None:
+        tests = self.tests(df)
+        return F.coalesce(all_of(list(tests.values())), F.lit(False)) if tests else None
+
+    def counts(self, df: DataFrame, keep: Column) -> list[Column]:
+        failed = {k: ~F.coalesce(t, F.lit(k in ("token_count_too_low", "token_count_too_high"))) for k, t in self.tests(df).items()}
+        several = reduce(lambda a, b: a + b, (f.cast("int") for f in failed.values()), F.lit(0)) > 1
+        names = ("no_text_content", "token_count_too_low", "token_count_too_high", "corrupted_image", "image_size_invalid")
+        each = [F.count(F.when(failed.get(k, F.lit(False)), 1)).alias(k) for k in names]
+        return [F.count("*").alias("total"), F.count(F.when(keep, 1)).alias("passed"), *each, F.count(F.when(several, 1)).alias("multiple_failures")]
 
 
 class MultimodalFilter(Filter):
@@ -91,6 +107,13 @@ class MultimodalFilter(Filter):
 
     type = "multimodal_filter"
 
+    def _prunes(self, df: DataFrame) -> bool:
+        kind = field(df, "images")
+        return bool(self.config.get("filter_corrupted_images")) and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+    def _valid(self, check: Column) -> Column:
+        return F.coalesce(check["readable"] & size_within(check, self.config.get("min_image_size"), self.config.get("max_image_size")), F.lit(False))
+
     def keep(self, df: DataFrame) -> Column | None:
         c, tests = self.config, []
         one, many = field(df, "image"), field(df, "images")
@@ -99,19 +122,24 @@ class MultimodalFilter(Filter):
             tests.append(reduce(lambda a, b: a | b, there) if there else F.lit(False))
         if c.get("filter_corrupted_images"):
             if isinstance(one, T.StructType):
-                tests.append(column("image").isNull() | (image_readable(column("image")) & size_within(column("image"), c.get("min_image_size"), c.get("max_image_size"))))
-            if isinstance(many, T.ArrayType):
-                tests.append(F.coalesce(F.size("images") == 0, F.lit(True)) | F.exists("images", self._valid))
+                tests.append(column("image").isNull() | self._valid(checked(column("image"))))
+            if self._prunes(df):
+                tests.append(F.coalesce(F.size("images") == 0, F.lit(True)) | F.exists(self.checks, self._valid))
         return all_of(tests)
 
-    def _valid(self, image: Column) -> Column:
-        return image_ok(image) & size_within(image, self.config.get("min_image_size"), self.config.get("max_image_size"))
-
     def __call__(self, df: DataFrame) -> DataFrame:
-        out = super().__call__(df)
-        if self.config.get("filter_corrupted_images") and isinstance(field(df, "images"), T.ArrayType):
-            out = out.withColumn("images", F.filter("images", self._valid))
-        return out
+        if not self._prunes(df):
+            return super().__call__(df)
+        # the files are read once, for the choice of rows and of images
+        mark = free_name(df, "checks")
+        self.checks = F.col(mark)
+        out = super().__call__(computed_once(df, mark, checked_all(column("images"))))
+        pairs = F.filter(F.zip_with("images", mark, lambda x, c: F.struct(x.alias("x"), c.alias("c"))), lambda p: self._valid(p["c"]))
+        cond = condition(df, self.config.get("condition"))
+        pruned = F.transform(pairs, lambda p: p["x"])
+        if cond is False or self.skips(df):
+            return df
+        return out.withColumn("images", pruned if cond is True else F.when(cond, pruned).otherwise(F.col("images"))).drop(mark)
 
 
 class ImageCountFilter(Filter):

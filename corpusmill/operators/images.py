@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.images import IMAGE_TYPE, decode, encode
-from ..functions.values import column, condition, field
+from ..functions.values import column, condition, field, free_name
 from .base import Processor
 
 KERNELS = {
@@ -25,7 +25,7 @@ def _weights(old: int, new: int, method: str) -> np.ndarray:
     """[new, old] resampling weights, the kernel widened when shrinking."""
     scale = old / new
     if method == "nearest":
-        return np.eye(old)[np.minimum((np.arange(new) * scale + scale / 2).astype(int), old - 1)]
+        return np.eye(old)[(2 * np.arange(new) + 1) * old // (2 * new)]
     support, kernel = KERNELS[method]
     wide = max(scale, 1.0)
     centre = (np.arange(new) + 0.5) * scale
@@ -56,21 +56,36 @@ def fill(x: np.ndarray, size: tuple[int, int]) -> np.ndarray:
 
 
 def luma(x: np.ndarray) -> np.ndarray:
-    return x if x.shape[2] < 3 else np.rint(x[..., :3] @ [0.299, 0.587, 0.114])[..., None].astype(np.uint8)
+    """Luma in the usual fixed-point form: 16 bits of fraction, rounded."""
+    if x.shape[2] < 3:
+        return x[..., :1]
+    r, g, b = (x[..., k].astype(np.int64) for k in range(3))
+    return ((19595 * r + 38470 * g + 7471 * b + 0x8000) >> 16).astype(np.uint8)[..., None]
+
+
+def blend(grey: np.ndarray | int, x: np.ndarray, factor: float) -> np.ndarray:
+    """From ``grey`` towards or past the image; each step is cut to whole values of a byte."""
+    return np.clip(grey + np.float32(factor) * (x.astype(np.float32) - grey), 0, 255).astype(np.uint8)
 
 
 def jitter(x: np.ndarray, brightness: float = 0, contrast: float = 0, saturation: float = 0) -> np.ndarray:
-    y = x.astype(float)
-    clip = lambda v: np.clip(v, 0, 255)
-    if brightness:
-        y = clip(y * (1 + 0.5 * brightness))
-    if contrast:
-        mean = float(np.rint(luma(clip(y).astype(np.uint8)).mean()))
-        y = clip(mean + (y - mean) * (1 + 0.5 * contrast))
-    if saturation and x.shape[2] >= 3:
-        grey = luma(clip(y).astype(np.uint8)).astype(float)
-        y = clip(grey + (y - grey) * (1 + 0.5 * saturation))
-    return np.rint(y).astype(np.uint8)
+    if brightness > 0:
+        x = blend(0, x, 1 + 0.5 * brightness)
+    if contrast > 0:
+        x = blend(int(luma(x).mean() + 0.5), x, 1 + 0.5 * contrast)
+    if saturation > 0 and x.shape[2] >= 3:
+        x = blend(luma(x).astype(np.float32), x, 1 + 0.5 * saturation)
+    return x
+
+
+def regular(x: np.ndarray, most: int | None, least: int | None) -> np.ndarray:
+    """Three channels, and a number of pixels within a budget, in the image's proportions."""
+    for limit, over in ((most, True), (least, False)):
+        h, w = x.shape[:2]
+        if limit and (w * h > limit if over else w * h < limit):
+            f = math.sqrt(limit / (w * h))
+            x = resample(x, max(1, int(w * f)), max(1, int(h * f)), "bicubic")
+    return x[..., :3] if x.shape[2] >= 3 else np.repeat(x[..., :1], 3, axis=2)
 
 
 def _pair(size) -> tuple[int, int]:
@@ -84,8 +99,8 @@ def apply_one(x: np.ndarray, t: dict, method: str, mode: str) -> np.ndarray:
         if (t.get("mode") or mode) == "keep_aspect_ratio" and not isinstance(t["size"], int):
             return resample(x, *fitted_size(x.shape[1], x.shape[0], _pair(t["size"])), method="lanczos")
         if isinstance(t["size"], int):
-            f = t["size"] / min(x.shape[:2])
-            return resample(x, max(1, int(x.shape[1] * f)), max(1, int(x.shape[0] * f)), how)
+            h, w = x.shape[:2]
+            return resample(x, w * t["size"] // min(h, w), h * t["size"] // min(h, w), how)
         return resample(x, *_pair(t["size"]), method=how)
     if kind in ("center_crop", "random_crop"):
         return fill(x, _pair(t["size"]))
@@ -95,12 +110,14 @@ def apply_one(x: np.ndarray, t: dict, method: str, mode: str) -> np.ndarray:
         return resample(x[b : b + h, a : a + w], *_pair(t["size"]))
     if kind == "grayscale":
         return np.repeat(luma(x), int(t.get("num_output_channels", 1)), axis=2)
+    if kind == "regular":
+        return regular(x, t.get("max_pixels"), t.get("min_pixels"))
     if kind == "color_jitter":
         return jitter(x, t.get("brightness", 0), t.get("contrast", 0), t.get("saturation", 0))
     raise ValueError(f"unknown image transform: {kind}")
 
 
-PIXELS = tuple("resize center_crop random_crop resized_crop grayscale color_jitter".split())
+PIXELS = tuple("resize center_crop random_crop resized_crop grayscale color_jitter regular".split())
 TENSOR = ("to_tensor", "normalize", "to_pil")
 
 
@@ -179,7 +196,7 @@ class ImageTransform(Processor):
                 continue
             done = self._udf(many)(column(f))
             # the result is named once, so that the pixels are processed once
-            mark = f"_{f}_done"
+            mark = free_name(df, f"{f}_done")
             df = df.withColumn(mark, done if cond is True else F.when(cond, done))
             result = F.col(mark)
             old: Column = column(f)
@@ -200,14 +217,3 @@ class ImageTransform(Processor):
         return df
 
     transform = __call__
-
-
-def shrunk(width: Column, height: Column, most: tuple[int, int]) -> tuple[Column, Column]:
-    """The size ``resize`` with keep_aspect_ratio gives, without touching pixels."""
-    f = F.least(F.lit(1.0), F.lit(float(most[0])) / width, F.lit(float(most[1])) / height)
-    side = lambda x: F.greatest(F.lit(1), F.bround(x * f).cast("int"))
-    return side(width), side(height)
-
-
-def tensor_size(width: int, height: int) -> int:
-    return 3 * math.prod((width, height))

@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from .base import Context, Passthrough, Processor
+from ..functions.values import free_name
+from ..storage import Workspace
+from .base import Context, Filter, Passthrough, Processor
 from .dedup import Deduplicator
 from .errors import route_errors
 from .filters import ImageCountFilter, LengthFilter, MultimodalFilter, TokenFilter
@@ -49,9 +51,19 @@ def create_processor(spec: dict | str, context: Context | None = None) -> Proces
 
 
 def apply_all(df: DataFrame, specs: list, context: Context | None = None) -> DataFrame:
-    """A chain of processors as one lazy plan."""
+    """A chain of processors as one lazy plan.
+
+    With ``strict_empty`` a row-local step that leaves none of the rows it was given is
+    an error: a job for each filter, that ends at the first row it finds.
+    """
     context = context or Context()
-    return reduce(lambda d, s: create_processor(s, context)(d), specs or [], df)
+    for spec in specs or []:
+        step = create_processor(spec, context)
+        out = step(df)
+        if context.strict_empty and isinstance(step, Filter) and out is not df and out.isEmpty() and not df.isEmpty():
+            raise ValueError(f"{step.name} leaves no row: see its limits")
+        df = out
+    return df
 
 
 class Pipeline(Processor):
@@ -79,19 +91,16 @@ class RowFunction(Processor):
     ``log_and_continue`` leaves the row out, ``raise_after_k`` does so up to k rows.
     """
 
-    ERROR = "_error"
-
     def __init__(self, function: Callable[[dict], dict | None], schema: str | None = None, config=None, context=None):
         super().__init__(config, context)
         self.function, self.schema = function, schema
 
-    def attempt(self, df: DataFrame) -> DataFrame:
-        """The result, with what failed in ERROR."""
+    def attempt(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """The result, and the column that says what failed."""
         import pandas as pd
 
-        f, error = self.function, self.ERROR
-        like = df.sparkSession.createDataFrame([], self.schema or df.schema)
-        names = like.columns
+        f, like = self.function, df.sparkSession.createDataFrame([], self.schema or df.schema)
+        names, error = like.columns, free_name(like, "error")
 
         def run(batches):
             for batch in batches:
@@ -106,10 +115,13 @@ class RowFunction(Processor):
                         out.append({k: got.get(k) for k in names} | {error: None})
                 yield pd.DataFrame(out, columns=[*names, error])
 
-        return df.mapInPandas(run, like.schema.add(error, "string"))
+        return df.mapInPandas(run, like.schema.add(error, "string")), error
 
     def transform(self, df: DataFrame) -> DataFrame:
-        good, self.errors = route_errors(self.attempt(df), self.ERROR, self.context.error_mode, self.context.max_errors)
+        tried, error = self.attempt(df)
+        if self.context.error_mode == "raise_after_k":  # errors are counted first: the function still runs once
+            tried = Workspace(df.sparkSession).save(tried, "tried")
+        good, self.errors = route_errors(tried, error, self.context.error_mode, self.context.max_errors)
         return good
 
 

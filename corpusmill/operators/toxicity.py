@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -77,21 +78,53 @@ def safety_tag(embedding: Column, neutral: list[list[float]], nsfw: list[list[fl
     return F.when(embedding.isNull(), None).when(hits == 0, "UNLIKELY").when(young, "UNDERAGE_RISK").when(hits == 2, "NSFW").otherwise("UNSURE")
 
 
+NEUTRAL, NSFW, UNDERAGE = ("an everyday photo", "a drawing or diagram", "a photo of nature or a building"), ("a nude person", "sexual content"), ("a child", "a teenager")
+
+
+class Encoder(Protocol):
+    """A plug-in for images, as ``context.scorers["image"]``: texts and images as vectors of one space."""
+
+    def texts(self, categories: list[str]) -> list[list[float]]: ...
+
+    def images(self, images: Column) -> Column:
+        """A list of vectors for a list of images; null for an image that can't be read."""
+        ...
+
+
 class ImageToxicityFilter(Filter):
     """Drops a row if the tag of any of its images is one that is filtered; rows without images pass.
 
-    Tags come from ``embedding_fields`` (vectors, or lists of vectors) and the configured category vectors.
+    Vectors of categories are configured, or the encoder's of their names; images are
+    encoded (``image_fields``), or come as vectors (``embedding_fields``).
     """
 
     type = "image_toxicity_filter"
 
+    def vectors(self, kind: str, names: tuple[str, ...]) -> list[list[float]]:
+        """Of one kind of category, of length 1."""
+        given = self.config.get(f"{kind}_vectors")
+        encoder: Encoder | None = self.context.scorers.get("image")
+        if given is None and encoder is not None:
+            given = encoder.texts(list(self.config.get(f"{kind}_categories", names)))
+        if given is None and kind != "underage":
+            raise ValueError(f"image_toxicity_filter needs {kind}_vectors, or an encoder among the scorers")
+        return category_matrix(given) if given else []
+
     def keep(self, df: DataFrame) -> Column | None:
         c, tests = self.config, []
         bad = [t for t, k in (("NSFW", "filter_nsfw"), ("UNSURE", "filter_unsure"), ("UNDERAGE_RISK", "filter_underage_risk")) if c.get(k, True)]
-        tag = lambda v: safety_tag(v, c["neutral_vectors"], c["nsfw_vectors"], c.get("underage_vectors") or [], float(c.get("underage_threshold", 0.3))).isin(bad)
+        neutral, nsfw, underage = (self.vectors(k, v) for k, v in (("neutral", NEUTRAL), ("nsfw", NSFW), ("underage", UNDERAGE)))
+        tag = lambda v: safety_tag(v, neutral, nsfw, underage, float(c.get("underage_threshold", 0.3))).isin(bad)
         for f in c.get("embedding_fields") or ["embedding", "embeddings"]:
             kind = field(df, f)
             if isinstance(kind, T.ArrayType):
                 nested = isinstance(kind.elementType, T.ArrayType)
                 tests.append(F.coalesce(F.exists(column(f), tag) if nested else tag(column(f)), F.lit(False)))
+        encoder: Encoder | None = self.context.scorers.get("image")
+        for f in (c.get("image_fields") or ["image", "images"]) if encoder is not None else ():
+            kind = field(df, f)
+            many = isinstance(kind, T.ArrayType)
+            if isinstance(kind.elementType if many else kind, T.StructType):
+                images = column(f) if many else F.when(column(f).isNotNull(), F.array(column(f)))
+                tests.append(F.coalesce(F.exists(encoder.images(images), tag), F.lit(False)))
         return ~reduce(lambda a, b: a | b, tests) if tests and bad else None

@@ -33,8 +33,6 @@ def prepare_one(spark: SparkSession, cfg: dict, spec: dict, context: Context, li
         strategy = load_strategy(spec["type"], context.tokenizer or TokenizerSpec(), cfg, spec)
         if strategy is not None:
             df = strategy(df)
-    if cfg.get("strict_empty") and df.isEmpty():
-        raise ValueError(f"no row of {spec.get('path')} is left")
     return df
 
 
@@ -44,12 +42,12 @@ def prepare(spark: SparkSession, cfg: dict, limit: int | None = None, scorers: d
         raise ValueError("the configuration has no datasets")
     tokenizer = load_tokenizer(cfg) if cfg.get("tokenizer_file") or cfg.get("tokenizer_config") or cfg.get("base_model") else None
     mode, most = error_policy(cfg)
-    context = Context(tokenizer=tokenizer, order_by=cfg.get("order_by"), scorers=scorers or {}, error_mode=mode, max_errors=most)
+    context = Context(tokenizer=tokenizer, order_by=cfg.get("order_by"), scorers=scorers or {}, error_mode=mode, max_errors=most, strict_empty=bool(cfg.get("strict_empty", True)))
     limit = limit if limit is not None else cfg.get("limit")
     train = concat_datasets([prepare_one(spark, cfg, spec, context, limit) for spec in cfg["datasets"]])
     test = None
     if cfg.get("val_set_size"):
-        train, test = train_test_split(with_row_id(train), cfg["val_set_size"], int(cfg.get("seed", 42)))
+        train, test = train_test_split(with_row_id(train, by if (by := cfg.get("order_by")) in train.columns else None), cfg["val_set_size"], int(cfg.get("seed", 42)))
         train, test = train.drop(ROW_ID), test.drop(ROW_ID)
     steps = None
     if cfg.get("count_steps"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import media, prompts, values
@@ -97,16 +97,6 @@ def image_count_filter(spark, d):
     return out.select("page_id", ImageCountFilter.count(out, ["images"]).cast("long").alias("images"))
 
 
-@query("select page_id, width, height from (select page_id, (page_id * 37 % 500)::int as width, (page_id * 91 % 400)::int as height from pages) where width between 100 and 450 and height between 50 and 380")
-def multimodal_filter(spark, d):
-    size = lambda a, b: (F.col("page_id") * a % b).cast("int")
-    none = F.lit(None)
-    image = F.struct(none.cast("binary").alias("bytes"), F.col("url").alias("path"), size(37, 500).alias("width"), size(91, 400).alias("height"), none.cast("string").alias("mode"))
-    rule = {"type": "multimodal_filter", "filter_corrupted_images": True, "require_images": True, "min_image_size": [100, 50], "max_image_size": [450, 380]}
-    pages = table(spark, d, "pages").select("page_id", F.array(image).alias("images"))
-    return apply_all(pages, [rule]).select("page_id", F.col("images")[0]["width"].alias("width"), F.col("images")[0]["height"].alias("height"))
-
-
 @query("select count(*) as total, count(*) filter (length(text) >= 500) as kept, count(*) filter (length(text) < 500) as short, count(*) filter (regexp_matches(text, '(?i)licensed under')) as licensed from documents")
 def filter_stats(spark, d):
     df = table(spark, d, "documents")
@@ -210,32 +200,69 @@ for _style in ("alpaca", "chatml", "vicuna", "completion"):
     _prompt(_style)
 
 
-def _ids(total: str, most: int) -> str:
-    return f"case when {total} = 0 then 0 when {total} < {most} then {total} + 1 else {most} end"
+def sql_ids(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{PATTERN}'), lambda t: ('0x' || substr(md5(t), 1, 7))::bigint % {TOKENS.vocabulary})"
+
+
+def sql_with_eos(ids: str, most: int, past_end: bool = False) -> str:
+    """Cut to ``most``, and EOS where it isn't the last and has room."""
+    room = "" if past_end else f" and len({ids}) < {most}"
+    return f"case when len({ids}) > 0 and {ids}[1:{most}][-1] <> {TOKENS.eos_id}{room} then {ids}[1:{most}] || [{TOKENS.eos_id}::bigint] else {ids}[1:{most}] end"
+
 
+def spaced(ids: str) -> Column:
+    """Every id, in order, as one string."""
+    return F.array_join(F.col(ids).cast("array<string>"), " ")
 
-_full, _ask = sql_tokens(sql_prompt("alpaca")), sql_tokens(sql_prompt("alpaca", False))
 
+def _masked_ids(style: str, most: int) -> str:
+    return f"""select conv_id, turn, array_to_string(ids, ' ') as input_ids, array_to_string(list_transform(range(1, least(m, len(ids)) + 1), lambda i: -100::bigint) || ids[m + 1:], ' ') as labels
+from (select conv_id, turn, {sql_with_eos('a', most)} as ids, least(m, {most}) as m from (select conv_id, turn, {sql_ids(sql_prompt(style))} as a, {sql_tokens(sql_prompt(style, False))} as m from {PAIRS}))"""
+
+
+def _strategy(style: str, most: int) -> None:
+    def run(spark, d):
+        out = load_strategy(style, TOKENS, {"sequence_len": most}, {"keep_columns": ["conv_id", "turn"]})(instructions(spark, d))
+        return out.select("conv_id", "turn", spaced("input_ids").alias("input_ids"), spaced("labels").alias("labels"))
+
+    run.__name__ = f"{style}_strategy"
+    query(_masked_ids(style, most))(run)
 
-@query(f"select conv_id, turn, {_ids('n', 256)} as ids, least(m, 256) as masked from (select conv_id, turn, {_full} as n, {_ask} as m from {PAIRS})")
-def alpaca_strategy(spark, d):
-    run = load_strategy("alpaca", TOKENS, {"sequence_len": 256}, {"keep_columns": ["conv_id", "turn"]})
-    return run(instructions(spark, d)).select("conv_id", "turn", F.size("input_ids").cast("long").alias("ids"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"))
 
+for _style, _most in (("alpaca", 256), ("chatml", 64), ("vicuna", 128)):
+    _strategy(_style, _most)
 
-@query(f"select doc_id, {_ids(sql_tokens('text'), 512)} as ids from documents")
+
+@query(f"select doc_id, array_to_string({sql_with_eos('a', 512)}, ' ') as input_ids from (select doc_id, {sql_ids('text')} as a from documents)")
 def completion_strategy(spark, d):
     run = load_strategy("completion", TOKENS, {"sequence_len": 512}, {"keep_columns": ["doc_id"]})
-    return run(table(spark, d, "documents")).select("doc_id", F.size("input_ids").cast("long").alias("ids"))
+    return run(table(spark, d, "documents")).select("doc_id", spaced("input_ids").alias("input_ids"))
+
+
+def _sql_chat(style: str) -> str:
+    start, before, after, close, end = map(_quoted, prompts.TEMPLATES[style])
+    return f"(select conv_id, {start} || string_agg({before} || role || {after} || text || {close}, '' order by turn) || {end} as t from conversations group by 1)"
+
 
+def _chat(style: str) -> None:
+    def run(spark, d):
+        strategy = load_strategy("chat_template", TOKENS, {"sequence_len": 1024, "chat_template": style}, {"keep_columns": ["conv_id"]})
+        return strategy(chats(spark, d)).select("conv_id", spaced("input_ids").alias("input_ids"))
+
+    run.__name__ = "chat_template_strategy" if style == "chatml" else f"chat_template_{style}"
+    query(f"select conv_id, array_to_string({sql_with_eos('a', 1024, True)}, ' ') as input_ids from (select conv_id, {sql_ids('t')} as a from {_sql_chat(style)})")(run)
 
-_chat = "(select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) as t from conversations group by 1)"
 
+for _style in prompts.TEMPLATES:
+    _chat(_style)
 
-@query(f"select conv_id, least({sql_tokens('t')}, 1024) + 1 as ids from {_chat}")
-def chat_template_strategy(spark, d):
-    run = load_strategy("chat_template", TOKENS, {"sequence_len": 1024}, {"keep_columns": ["conv_id"]})
-    return run(chats(spark, d)).select("conv_id", F.size("input_ids").cast("long").alias("ids"))
+
+@query(f"select conv_id, turn, trim(output) as response from {PAIRS}")
+def prompt_response(spark, d):
+    """What the prompt's own split finds of a rendered text is the output."""
+    c = instructions(spark, d)
+    text = prompts.build_prompt("alpaca", *map(F.col, ("instruction", "input", "output")))
+    return c.select("conv_id", "turn", F.trim(F.regexp_replace(prompts.get_response("alpaca", text), "^\n", "")).alias("response"))
 
 
 _SAID = """(select conv_id, coalesce(string_agg('System: ' || text || chr(10) || chr(10), '' order by turn desc) filter (role = 'system'), '') ||
@@ -247,10 +274,10 @@ def vl_conversation_text(spark, d):
     return chats(spark, d).select("conv_id", prompts.conversation_text(F.col("messages")).alias("text"))
 
 
-@query(f"select conv_id, {sql_tokens('t')} as original_length, {sql_tokens('t')} > 512 as truncated, least({sql_tokens('t')}, 512) as ids from {_SAID}")
+@query(f"select conv_id, len(a) as original_length, len(a) > 512 as truncated, array_to_string(a[1:512], ' ') as input_ids from (select conv_id, {sql_ids('t')} as a from {_SAID})")
 def vision_language_strategy(spark, d):
     run = load_strategy("vision_language", TOKENS, {"sequence_len": 512}, {"keep_columns": ["conv_id"]})
-    return run(chats(spark, d)).select("conv_id", F.col("metadata.original_length").cast("long").alias("original_length"), "metadata.truncated", F.size("input_ids").cast("long").alias("ids"))
+    return run(chats(spark, d)).select("conv_id", F.col("metadata.original_length").cast("long").alias("original_length"), "metadata.truncated", spaced("input_ids").alias("input_ids"))
 
 
 @query("""select conv_id, sum((length(t) - length(replace(t, '<image>', ''))) // 7)::bigint as placeholders, sum(length(replace(t, '<image>', '<image><image><image><image>')))::bigint as chars
@@ -468,8 +495,11 @@ def arrival_counts(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_images, queries_runs  # noqa: F401  they add theirs
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

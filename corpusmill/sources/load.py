@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.images import checked
 from ..operators.base import ROW_ID
+from ..functions.values import free_name
 from ..operators.sampling import dense_rank
 
 LOG = logging.getLogger(__name__)
@@ -58,9 +60,12 @@ def read(spark: SparkSession, kind: str, paths: str | list[str], spec: dict) ->
     if kind == "text":
         return spark.read.text(paths).withColumnRenamed("value", "text")
     if kind == "binaryFile":
-        none = lambda t: F.lit(None).cast(t)
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        return raw.select(F.struct(F.col("content").alias("bytes"), F.col("path"), none("int").alias("width"), none("int").alias("height"), none("string").alias("mode")).alias("image"))
+        none = lambda t: F.lit(None).cast(t)
+        image = F.struct(F.col("content").alias("bytes"), F.col("path"), none("int").alias("width"), none("int").alias("height"), none("string").alias("mode"))
+        # sizes are read from the headers here, so that no later step has to ask the bytes for them
+        found = raw.select(image.alias("image")).select("image", checked(F.col("image"), whole=False).alias("c"))
+        return found.select(F.struct("image.bytes", "image.path", "c.width", "c.height", "c.mode").alias("image"))
     return reader.format(kind).load(paths)
 
 
@@ -120,9 +125,10 @@ def slice_rows(df: DataFrame, start: str | None, end: str | None, order_by: str
     if lo == 0 and hi is not None:
         return df.orderBy(order_by).limit(hi) if order_by else df.limit(hi)
     order = F.col(order_by) if order_by else F.monotonically_increasing_id()
-    ranked = dense_rank(df.withColumn(ROW_ID, order), "_rank", F.col(ROW_ID))
-    inside = (F.col("_rank") >= lo) & (F.lit(True) if hi is None else F.col("_rank") < hi)
-    return ranked.where(inside).drop("_rank", ROW_ID)
+    had, rank = ROW_ID in df.columns, free_name(df, "rank")
+    ranked = dense_rank(df if had else df.withColumn(ROW_ID, order), rank, F.col(ROW_ID))
+    inside = (F.col(rank) >= lo) & (F.lit(True) if hi is None else F.col(rank) < hi)
+    return ranked.where(inside).drop(rank, *([] if had else [ROW_ID]))
 
 
 def concat_datasets(parts: list[DataFrame]) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import TokenizerSpec
+
 PREPARED = "data/prepared"
 _NAME = re.compile(r"^[A-Za-z0-9_-]+$")
 
@@ -76,6 +79,45 @@ def export(df: DataFrame, folder: str, cfg: dict, stats: dict | None = None) ->
     return path
 
 
-def debug_rows(df: DataFrame, n: int = 5, width: int = 200) -> list[dict]:
-    """The first rows, values cut to ``width`` characters, for people to look at."""
-    return [r.asDict() for r in df.limit(n).select(*(F.substring(F.col(f"`{c}`").cast("string"), 1, width).alias(c) for c in df.columns)).collect()]
+def find_token(given: str | None = None) -> str:
+    """A token for uploads: the one given, else that of the environment, else that of an earlier login."""
+    if given or os.environ.get("HF_TOKEN"):
+        return given or os.environ["HF_TOKEN"]
+    saved = os.path.join(os.environ.get("HF_HOME") or os.path.expanduser("~/.cache/huggingface"), "token")
+    if os.path.isfile(saved):
+        with open(saved, encoding="utf-8") as f:
+            return f.read().strip()
+    raise ValueError("an upload needs a token: give one, set HF_TOKEN, or log in")
+
+
+def upload(path: str, cfg: dict, token: str | None = None) -> str:
+    """Sends an exported folder to the configuration's dataset; needs huggingface_hub and a folder that the driver can read."""
+    names = validate_export(cfg)
+    if names is None:
+        raise ValueError("the configuration asks for no upload")
+    key = find_token(token)
+    try:
+        from huggingface_hub import HfApi
+    except ImportError as e:
+        raise RuntimeError("uploads need huggingface_hub, which isn't installed") from e
+    up, name = cfg.get("hf_upload") or cfg.get("export") or {}, "/".join(names)
+    api = HfApi(token=key)
+    api.create_repo(name, repo_type="dataset", private=bool(up.get("private", False)), exist_ok=True)
+    api.upload_folder(folder_path=path.removeprefix("file://").removeprefix("file:"), repo_id=name, repo_type="dataset")
+    return name
+
+
+def debug_rows(df: DataFrame, n: int = 5, width: int = 200, tokenizer: TokenizerSpec | None = None, text_only: bool = False) -> list[dict]:
+    """The first rows, for people to look at: their first 50 ids and what these are as text, or values cut to ``width`` characters.
+
+    The native tokenizer's ids are hashes, and have no text.
+    """
+    if "input_ids" not in df.columns:
+        return [r.asDict() for r in df.limit(n).select(*(F.substring(F.col(f"`{c}`").cast("string"), 1, width).alias(c) for c in df.columns)).collect()]
+    known = tokenizer.loaded() if tokenizer is not None and tokenizer.path else None
+    out = []
+    for r in df.limit(n).select("input_ids").collect():
+        ids = list(r["input_ids"] or [])
+        text = {"text": None if known is None else known.decode(ids) if text_only else known.decode(ids)[:width]}
+        out.append(text if text_only else {"input_ids": ids[:50]} | text)
+    return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.values import free_name
 from ..operators.base import Context
 from ..operators.pipeline import create_processor
 
@@ -30,18 +32,26 @@ def apply_stream(df: DataFrame, specs: list, context: Context | None = None) ->
 
 
 def read_stream(spark: SparkSession, kind: str, path: str, schema, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+    """Files of a folder, or those that match the last part of ``path``, as they arrive."""
+    folder, _, last = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", last).load(folder) if "." in last or "*" in last else reader.load(path)
+
+
+def _instants(df: DataFrame, time: str) -> DataFrame:
+    """A watermark needs instants: local times are read in the session's time zone."""
+    return df.withColumn(time, F.col(time).cast("timestamp")) if isinstance(df.schema[time].dataType, T.TimestampNTZType) else df
 
 
 def drop_repeats(df: DataFrame, text: str = "text", time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Rows whose text was seen within the watermark's delay go; state is a hash for each text, and expires."""
-    key = F.sha2(F.col(text), 256)
-    return df.withColumn("_key", key).withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    mark = free_name(df, "key")
+    return _instants(df, time).withColumn(mark, F.sha2(F.col(text), 256)).withWatermark(time, delay).dropDuplicatesWithinWatermark([mark]).drop(mark)
 
 
 def windowed_counts(df: DataFrame, time: str = "ts", key: str = "source", width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     """What arrived, by window and key; late rows count until the watermark passes."""
-    return df.withWatermark(time, delay).groupBy(F.window(time, width).alias("window"), key).agg(F.count("*").alias("n"))
+    return _instants(df, time).withWatermark(time, delay).groupBy(F.window(time, width).alias("window"), key).agg(F.count("*").alias("n"))
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", once: bool = True) -> StreamingQuery:

@@ -434,12 +434,13 @@ def test_prepare_and_save(spark, tmp_path):
     spark.createDataFrame([(k, f"text number {k} here") for k in range(20)], "id int, text string").write.parquet(f"{tmp_path}/in")
     cfg = {
         "datasets": [{"path": f"{tmp_path}/in", "limit": 10, "order_by": "id", "type": "completion", "processors": [{"type": "filter", "name": "f", "min_length": 3}, {"reference": "f"}, "f"]}, {"path": f"{tmp_path}/in", "type": "completion"}],
-        "val_set_size": 0.1, "sequence_len": 64, "tokenizer_config": "a/b", "dataset_prepared_path": f"{tmp_path}/out", "count_steps": True, "micro_batch_size": 2, "num_epochs": 3,
+        "val_set_size": 0.1, "sequence_len": 64, "tokenizer_config": "native", "dataset_prepared_path": f"{tmp_path}/out", "count_steps": True, "micro_batch_size": 2, "num_epochs": 3,
     }
     done = prepare(spark, cfg)
     assert done.train.count() == 27 and done.test.count() == 3 and done.steps == 39
     paths = save_prepared(cfg, done.train, done.test)
-    assert paths == [f"{tmp_path}/out/train_a_b_64", f"{tmp_path}/out/eval_a_b_64"] and spark.read.parquet(paths[0]).count() == 27
+    assert paths == [f"{tmp_path}/out/train_native_64", f"{tmp_path}/out/eval_native_64"] and spark.read.parquet(paths[0]).count() == 27
+    assert prepared_path({"tokenizer_config": "a/b", "sequence_len": 64}, "eval") == "data/prepared/eval_a_b_64"
     assert prepared_path({}, "train") == "data/prepared/train_none_2048"
     cfg["hf_upload"] = {"enabled": True, "organization": "org", "dataset_name": "set-1", "license": "mit"}
     path = export(done.train, f"{tmp_path}/export", cfg)
