@@ -6,9 +6,9 @@ r > first(s).  Pairs come from an equi-join on length classes, a character-bag
 bound, and a bit-parallel LCS with early exit.
 
 N-gram: rows in order; a row that is kept removes later ones whose containment
-100 |A n B| / min(|A|, |B|) reaches the threshold.  Pairs come from a prefix filter:
-of the smaller set, one of the rarest |A| - ceil(t |A|) + 1 grams must be shared, so
-frequent grams are seldom joined on.  The greedy choice is a fixpoint over the pairs.
+100 |A n B| / min(|A|, |B|) reaches the threshold.  Copies are collapsed first; pairs
+of distinct texts come from a prefix filter over packed sets (``overlap``).  The greedy
+choice is a fixpoint over the pairs: a family of n near copies that differ has n^2.
 
 Null texts are never duplicates, and are kept.
 """
@@ -18,15 +18,18 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
+from ..functions.batches import mix
 from ..functions.tokens import TokenizerSpec
 from ..functions.values import column
 from ..storage import Workspace
+from . import overlap
 from .base import ROW_ID, Processor, with_row_id
 
 LOG = logging.getLogger(__name__)
@@ -91,22 +94,52 @@ def gram_sets(rows: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
     return grams_of(rows, tokenizer, n).select(ROW_ID, "grams", F.size("grams").alias("size")).where("size > 0")
 
 
+def _listed_sets(batch: pa.RecordBatch):
+    """Of (ROW_ID, grams): the ids, and the sets of spread-out tokens."""
+    grams = batch.column("grams")
+
+    def made(places: list[int]) -> list[np.ndarray]:
+        return [np.sort(mix(grams[k].values.to_numpy().view(np.uint64))) for k in places]
+
+    yield batch.column(ROW_ID).to_pylist(), made
+
+
 def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, shared, size_i, size_j), i < j, of rows whose containment reaches the threshold."""
-    grams = sets.select(ROW_ID, "size", F.explode("grams").alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")  # others are in no pair
-    shared = grams.join(frequency, "g")
-    rank = Window.partitionBy(ROW_ID).orderBy("df", "g")
-    shared = shared.withColumn("k", F.row_number().over(rank)).withColumn("n", F.count("*").over(Window.partitionBy(ROW_ID)))
-    need = F.greatest(F.lit(1), F.ceil(F.col("size") * (threshold / 100.0) - 1e-9))
-    # unshared grams come first in the order: what is left of the prefix is n - need + 1 shared ones
-    probe = shared.where(F.col("k") <= F.col("n") - need + 1).select("g", F.col(ROW_ID).alias("p"), F.col("size").alias("sp"))
-    build = shared.select("g", F.col(ROW_ID).alias("q"), F.col("size").alias("sq"))
-    candidates = probe.join(build, "g").where("p <> q and sp <= sq").select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).distinct()
-    for c in "ij":
-        candidates = candidates.join(sets.select(F.col(ROW_ID).alias(c), F.col("grams").alias(f"grams_{c}"), F.col("size").alias(f"size_{c}")), c)
-    counted = candidates.select("i", "j", F.size(F.array_intersect("grams_i", "grams_j")).alias("shared"), "size_i", "size_j")
-    return counted.where(100.0 * F.col("shared") / F.least("size_i", "size_j") >= threshold)
+    """(i, j, shared, size_i, size_j), i < j, of sets whose containment reaches the threshold.
+
+    Of the smaller of two sets, one of the first |A| - need + 1 tokens must be shared,
+    need = ceil(t |A|), and from their first common token on both must have need left.
+    Only pairs that pass are verified, on the sets themselves.
+    """
+    ws = Workspace(sets.sparkSession)
+    share = threshold / 100.0
+    need = lambda size: np.maximum(1, np.ceil(size * share - 1e-9)).astype(np.int64)
+    found, postings = overlap.prepare(ws, sets.select(ROW_ID, "grams"), _listed_sets, lambda k, size: k > 0, lambda k, size: k, lambda k, size: np.maximum(0, k - need(size) + 1))
+    p = postings.where("probe").select("token", F.col("uid").alias("p"), F.col("size").alias("m"), F.col("rest").alias("rp"))
+    q = postings.select("token", F.col("uid").alias("q"), F.col("size").alias("n"), F.col("rest").alias("rq"))
+    # sets of one size meet from both sides, at the same token
+    pairs = p.join(q, "token").where(f"(m < n or m = n and p < q) and least(rp, rq) >= greatest(1, ceil(m * {share} - 1e-9))").select("p", "q").distinct()
+    for c in "pq":
+        pairs = pairs.join(found.select(F.col("uid").alias(c), F.col("size").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}")), c)
+
+    def verify(batches):
+        for batch in batches:
+            x = batch.to_pydict()
+            both = [overlap.common(np.sort(np.frombuffer(a, np.uint64)), np.sort(np.frombuffer(b, np.uint64))) for a, b in zip(x["tokens_p"], x["tokens_q"])]
+            keep = [k for k, (n, m) in enumerate(zip(both, x["size_p"])) if 100.0 * n / m >= threshold]
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], t) for c, t in ((x["p"], pa.int64()), (x["q"], pa.int64()), (both, pa.int64()), (x["size_p"], pa.int32()), (x["size_q"], pa.int32()))], names=["p", "q", "shared", "size_p", "size_q"])
+
+    counted = pairs.mapInArrow(verify, "p long, q long, shared long, size_p int, size_q int")
+    ordered = lambda a, b: F.when(F.col("p") < F.col("q"), F.col(a)).otherwise(F.col(b))
+    return counted.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "shared", ordered("size_p", "size_q").alias("size_i"), ordered("size_q", "size_p").alias("size_j"))
+
+
+def first_of_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((ROW_ID, s) of the first row of each text, (ROW_ID, first) of the others): copies are told by 128 bits of hashes."""
+    keyed = rows.where("s is not null").select(ROW_ID, "s", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("k"))
+    first = keyed.groupBy("h", "k").agg(F.min(ROW_ID).alias("first"), F.count("*").alias("c"))
+    copies = keyed.drop("s").join(first.where("c > 1"), ["h", "k"]).where(F.col(ROW_ID) > F.col("first")).select(ROW_ID, "first")
+    return rows.where("s is not null").join(copies.select(ROW_ID), ROW_ID, "left_anti"), copies
 
 
 def greedy_removed(ws: Workspace, pairs: DataFrame) -> DataFrame:
@@ -126,9 +159,14 @@ def greedy_removed(ws: Workspace, pairs: DataFrame) -> DataFrame:
 
 
 def ngram_removed(rows: DataFrame, tokenizer: TokenizerSpec, n: int, threshold: float) -> DataFrame:
+    """Ids that go.  Copies of a text with a gram always do, and remove nothing that the first doesn't, so only first ones are compared."""
     ws = Workspace(rows.sparkSession)
-    sets = ws.save(gram_sets(rows, tokenizer, n), "sets")
-    return greedy_removed(ws, containment_pairs(sets, threshold))
+    copies = ws.save(first_of_copies(rows)[1], "copies")
+    sets = ws.save(gram_sets(rows.join(copies.select(ROW_ID), ROW_ID, "left_anti"), tokenizer, n), "sets")
+    pairs = greedy_removed(ws, containment_pairs(sets, threshold))
+    if threshold > 100:
+        return pairs
+    return pairs.union(copies.join(sets.select(F.col(ROW_ID).alias("first")), "first", "left_semi").select(ROW_ID))
 
 
 def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: float) -> DataFrame:

@@ -332,11 +332,22 @@ def sql_overlaps(source: str, id: str, text: str, n: int, threshold: float) -> s
     return f"(select x.id as i, y.id as j, count(*) as shared, any_value(x.size) as size_i, any_value(y.size) as size_j from {g} x join {g} y on x.gram = y.gram and x.id < y.id group by 1, 2 having 100.0 * count(*) / least(any_value(x.size), any_value(y.size)) >= {threshold})"
 
 
-@query(f"select i, j, shared, size_i, size_j from {sql_overlaps('documents', 'doc_id', 'text', 8, 50)}")
+#: One document of each text, the first, and the others with it.
+_FIRSTS = "(select min(doc_id) as doc_id, text from documents where text is not null group by text)"
+_SIZES = f"(select id, any_value(size) as size from {sql_grams('documents', 'doc_id', 'text', 8)} group by 1)"
+
+
+@query(f"""select 'pair' as kind, i, j, shared, size_i, size_j from {sql_overlaps(_FIRSTS, 'doc_id', 'text', 8, 50)}
+union all select 'copy', f.doc_id, d.doc_id, z.size, z.size, z.size from documents d join {_FIRSTS} f on f.text = d.text and f.doc_id < d.doc_id join {_SIZES} z on z.id = d.doc_id""")
 def ngram_overlap_pairs(spark, d):
+    """Pairs of different texts, by the first document of each, and each other copy with the first."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias(ROW_ID), F.col("text").alias("s"))
-    pairs = dedup.containment_pairs(dedup.gram_sets(rows, TOKENS, 8), 50.0)
-    return pairs.select("i", "j", *(F.col(c).cast("long").alias(c) for c in ("shared", "size_i", "size_j")))
+    first, copies = dedup.first_of_copies(rows)
+    sets = dedup.gram_sets(first, TOKENS, 8)
+    long = lambda *cols: [F.col(c).cast("long").alias(c) for c in cols]
+    pairs = dedup.containment_pairs(sets, 50.0).select(F.lit("pair").alias("kind"), "i", "j", *long("shared", "size_i", "size_j"))
+    same = copies.join(sets.select(F.col(ROW_ID).alias("first"), F.col("size").cast("long").alias("n")), "first")
+    return pairs.union(same.select(F.lit("copy"), "first", ROW_ID, "n", "n", "n"))
 
 
 def sql_greedy(overlaps: str, source: str, id: str, columns: str) -> str:
