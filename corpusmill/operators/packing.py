@@ -1,48 +1,90 @@
 """``sample_packer``: consecutive texts joined into packs between two token counts.
 
-The fold is ordered, so only (order, count) goes through one task, in batches; texts
-are counted and joined in parallel.  With ``pack_by`` each key is folded on its own,
-in parallel.
+Which text begins a pack depends on all before it, but where a pack that begins at a
+given text ends doesn't.  So the rows, (key, order, count) of each text, are sorted into
+ranges; each range says what comes out at its end for every text that may be the first
+to begin a pack in it, of which there are no more than fit into one pack.  The driver
+follows these from range to range, one step each, and every range is then packed from
+where it is entered.  No task gets more than a range, whatever the keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import TokenizerSpec
 from ..functions.values import column
+from ..storage import Workspace
 from .base import ROW_ID, Processor, with_row_id
 
 
-class Fold:
-    """Numbers packs; ``finish`` says what the last one becomes."""
-
-    def __init__(self, least: int, most: int, separator: int):
-        self.least, self.most, self.separator = least, most, separator
-        self.pack, self.tokens, self.kept = 0, None, []  # kept: (pack, tokens) of emitted packs: only the last is needed
-
-    def add(self, n: int) -> int:
-        """The pack of the next text; a pack that is left below the least size is dropped."""
-        cost = n if self.tokens is None else self.tokens + self.separator + n
-        if self.tokens is not None and cost > self.most:
-            if self.tokens >= self.least:
-                self.kept = [(self.pack, self.tokens)]
-            self.pack, cost = self.pack + 1, n
-        self.tokens = cost
-        return self.pack
-
-    def finish(self) -> tuple[int, int] | None:
-        """(the last pack, the pack that it joins: itself if it is emitted)."""
-        if self.tokens is None:
-            return None
-        if self.tokens < self.least and self.kept and self.kept[0][1] + self.separator + self.tokens <= self.most:
-            return self.pack, self.kept[0][0]
-        return self.pack, self.pack
+class Range:
+    """The texts of a range in order: ``next`` is the text that begins the pack after one that begins at a text."""
+
+    def __init__(self, table: pa.Table, most: int, separator: int):
+        table = table.sort_by("at")
+        self.table, self.most, self.separator = table, most, separator
+        self.at, cost = table.column("at").to_numpy(), table.column("n").to_numpy() + separator
+        g = table.column("g").combine_chunks().dictionary_encode().indices.to_numpy()
+        borders = np.flatnonzero(np.concatenate([g[1:] != g[:-1], [True]])) + 1
+        end = borders[np.searchsorted(borders, np.arange(len(g)), side="right")]
+        self.sums = np.cumsum(cost)
+        self.before = self.sums - cost
+        self.next = np.clip(np.searchsorted(self.sums, self.before + separator + most, side="right"), np.arange(1, len(g) + 1), end)
+        self.head = int(borders[0])  # the texts of the first key
+
+    def entry(self, tokens: int | None) -> int:
+        """The first text that begins a pack, after one of ``tokens`` that is still open."""
+        return 0 if tokens is None else int(np.searchsorted(self.sums[: self.head], self.most - tokens, side="right"))
+
+    def last_starts(self) -> np.ndarray:
+        """Of each text, if a pack begins there, where the range's last pack begins."""
+        n = len(self.next)
+        last = np.where(self.next < n, self.next, np.arange(n))
+        while (last[last] != last).any():
+            last = last[last]
+        return last
+
+    def summary(self) -> dict:
+        """What comes out, by the room that an open pack has left: a step where it changes."""
+        entries = np.arange(min(self.entry(0), len(self.next) - 1) + 1)
+        last = self.last_starts()[entries]
+        new = np.concatenate([[True], last[1:] != last[:-1]])
+        entries, last = entries[new], last[new]
+        return {
+            "first": self.table.column("g")[0].as_py(), "end": self.table.column("g")[-1].as_py(), "one": self.head == len(self.next), "total": int(self.sums[-1]),
+            "room": np.where(entries > 0, self.sums[np.maximum(entries - 1, 0)], -(1 << 62)).tolist(), "start": self.at[last].tolist(), "tokens": (self.sums[-1] - self.before[last] - self.separator).tolist(),
+        }
+
+    def packs(self, tokens: int | None, start: int | None) -> np.ndarray:
+        """The place of the text that begins each text's pack."""
+        k = self.entry(tokens)
+        out, starts = np.full(len(self.next), -1 if start is None else start), []
+        while k < len(self.next):
+            starts.append(k)
+            k = int(self.next[k])
+        if starts:
+            out[starts[0] :] = np.repeat(self.at[starts], np.diff([*starts, len(out)]))
+        return out
+
+
+def follow(summaries: list[dict], most: int) -> list[tuple[int | None, int | None]]:
+    """(tokens, start) of the pack that is open where each range, in order, is entered; None where a key begins."""
+    entered, key, tokens, start = [], None, None, None
+    for s in summaries:
+        if start is None or key != s["first"]:
+            tokens = start = None
+        entered.append((tokens, start))
+        if tokens is not None and s["one"] and tokens + s["total"] <= most:
+            tokens += s["total"]
+            continue
+        k = 0 if tokens is None else int(np.searchsorted(s["room"], most - tokens, side="right")) - 1
+        key, start, tokens = s["end"], s["start"][k], s["tokens"][k]
+    return entered
 
 
 def exact_key(df: DataFrame, names: list[str]) -> Column:
@@ -92,39 +134,29 @@ class SamplePacker(Processor):
         keys = [c["pack_by"]] if isinstance(c.get("pack_by"), str) else list(c.get("pack_by") or [])
         text = column(self.field)
         rows = df.where(text.isNotNull() & (text != "")).select(F.col(ROW_ID).alias("i"), exact_key(df, keys).alias("g"), text.alias("t"))
-        counted = rows.select("g", "i", tokenizer.count(F.col("t")).cast("long").alias("n"))
         least, most, cost = self.least, self.most, self.separator_cost(df, tokenizer)
-
-        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state, group, first, ids, packs, sums = None, None, 0, [], [], {}
-
-            def close():
-                last = state.finish()
-                move, to = last
-                out = pd.DataFrame({"g": group, "i": ids, "pack": [to if p == move else p for p in packs]})
-                ok = {p for p, n in sums.items() if n >= least} | {to}
-                return out[out["pack"].isin(ok)]
-
-            for batch in batches:
-                for g, i, n in batch.itertuples(index=False):
-                    if g != group:
-                        if state is not None:
-                            yield close()
-                        state, group, ids, packs, sums = Fold(least, most, cost), g, [], [], {}
-                    p = state.add(int(n))
-                    ids.append(i), packs.append(p)
-                    sums[p] = state.tokens
-                if len(ids) > 200_000:  # packs that are closed and can't be joined any more
-                    hold = {state.pack, *(k for k, _ in state.kept)}
-                    done = [k for k, p in enumerate(packs) if p not in hold]
-                    yield pd.DataFrame({"g": group, "i": [ids[k] for k in done if sums[packs[k]] >= least], "pack": [packs[k] for k in done if sums[packs[k]] >= least]})
-                    ids, packs = [i for i, p in zip(ids, packs) if p in hold], [p for p in packs if p in hold]
-                    sums = {p: n for p, n in sums.items() if p in hold}
-            if state is not None:
-                yield close()
-
-        # counts are made in parallel; what is moved is (key, order, count)
-        ordered = counted.repartition("g").sortWithinPartitions("g", "i") if keys else counted.repartition(1).sortWithinPartitions("i")
-        packs = ordered.mapInPandas(fold, "g string, i long, pack long")
-        joined = rows.join(packs, ["g", "i"]).groupBy("g", "pack").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
+        ws = Workspace(df.sparkSession)
+        # texts are counted and joined in parallel; what is sorted is (key, order, count)
+        counted = rows.select("g", "i", tokenizer.count(F.col("t")).cast("long").alias("n")).sort("g", "i")
+        ordered = ws.save(counted.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+
+        def summed(table: pa.Table) -> pa.Table:
+            return pa.Table.from_pylist([{"part": table.column("part")[0].as_py()} | Range(table, most, cost).summary()], pa.schema([("part", pa.int32()), ("first", pa.string()), ("end", pa.string()), ("one", pa.bool_()), ("total", pa.int64()), *((k, pa.list_(pa.int64())) for k in ("room", "start", "tokens"))]))
+
+        summaries = ordered.groupBy("part").applyInArrow(summed, "part int, first string, end string, one boolean, total long, room array<long>, start array<long>, tokens array<long>")
+        found = sorted((r.asDict() for r in summaries.collect()), key=lambda r: r["part"])  # a row for each range
+        entered = df.sparkSession.sparkContext.broadcast(dict(zip((r["part"] for r in found), follow(found, most))))
+
+        def assigned(table: pa.Table) -> pa.Table:
+            r = Range(table, most, cost)
+            return pa.Table.from_arrays([r.table.column("g"), r.table.column("i"), r.table.column("n"), pa.array(r.packs(*entered.value[table.column("part")[0].as_py()]), pa.int64())], names=["g", "i", "n", "pack"])
+
+        packs = ws.save(ordered.groupBy("part").applyInArrow(assigned, "g string, i long, n long, pack long"), "packs")
+        sizes = packs.groupBy("g", "pack").agg((F.sum("n") + (F.count("*") - 1) * cost).alias("tokens"))
+        last = sizes.groupBy("g").agg(F.max("pack").alias("last"))
+        sizes = sizes.join(last, "g")
+        before = sizes.where(f"pack < last and tokens >= {least}").groupBy("g").agg(F.max(F.struct("pack", "tokens")).alias("before"))
+        joins = f"pack = last and tokens < {least} and before.tokens + {cost} + tokens <= {most}"
+        kept = sizes.join(before, "g", "left").where(f"tokens >= {least} or pack = last").select("g", "pack", F.when(F.expr(joins), F.col("before.pack")).otherwise(F.col("pack")).alias("into"))
+        joined = rows.join(packs.join(kept, ["g", "pack"]).select("g", "i", "into"), ["g", "i"]).groupBy("g", "into").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
         return joined.select(F.array_join(F.transform("parts", lambda p: p["t"]), self.separator).alias(self.field))
