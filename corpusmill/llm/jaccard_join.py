@@ -131,8 +131,8 @@ def _find(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits(parts: int) -> int:
-    """Ranges of tokens are told by so many upper bits."""
-    return parts.bit_length() - 1
+    """Ranges of tokens are told by so many upper bits: one or two ranges a partition."""
+    return parts.bit_length()
 
 
 def _cut(g: np.ndarray, bits: int) -> bytes:
@@ -140,8 +140,11 @@ def _cut(g: np.ndarray, bits: int) -> bytes:
     return g.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes()
 
 
-def _whole(data: bytes, number: int, bits: int) -> np.ndarray:
-    x = np.frombuffer(data, np.uint8).reshape(-1, 8 - bits // 8)
+def _whole(data: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """The tokens of ``_cut``'s bytes."""
+    if bits < 8:
+        return data.view(np.uint64)
+    x = data.reshape(-1, 8 - bits // 8)
     out = np.zeros((len(x), 8), np.uint8)
     out[:, : x.shape[1]] = x
     g = out.view(np.uint64).ravel()
@@ -170,8 +173,13 @@ def _emit(parts: int, n: int, frequent):
     return _flushed("text", n, flush)
 
 
-def _column(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]
+def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
+    """A binary column's values as one array, read where they lie."""
+    parts = [np.zeros(0, dtype)]
+    for chunk in table.column(name).chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype))
+    return np.concatenate(parts) if len(parts) > 2 else parts[-1]
 
 
 def _shared(parts: int, frequent):
@@ -181,8 +189,8 @@ def _shared(parts: int, frequent):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("part")[0].as_py()
         often = number >= 1 << bits
-        uids, sizes, runs = (np.concatenate(_column(table, c, t)) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
-        g = np.concatenate([_whole(x, number, 0 if often else bits) for x in table.column("gram").to_pylist()])
+        uids, sizes, runs = (_column(table, c, t) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
+        g = _whole(_column(table, "gram", np.uint8), number, 0 if often else bits)
         del table
         if often:
             at = np.arange(len(g))
@@ -228,9 +236,9 @@ def _assemble(threshold: float):
     """Of one range of texts: those that can have a partner, with their shared tokens in order A."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs = np.concatenate(_column(table, "run", np.int32))
-        uid, size = (np.repeat(np.concatenate(_column(table, c, t)), runs) for c, t in (("uid", np.int64), ("size", np.int32)))
-        g, df = np.concatenate(_column(table, "gram", np.uint64)), np.concatenate(_column(table, "df", np.int32))
+        runs = _column(table, "run", np.int32)
+        uid, size = (np.repeat(_column(table, c, t), runs) for c, t in (("uid", np.int64), ("size", np.int32)))
+        g, df = _column(table, "gram", np.uint64), _column(table, "df", np.int32)
         del table
         s, k = _runs(uid[(at := np.argsort(uid, kind="stable"))])
         ok = k >= need(size[at][s], threshold)
@@ -298,7 +306,7 @@ def _lists(parts: int):
     bits = _bits(parts)
 
     def run(table: pa.Table) -> pa.Table:
-        cols = [np.concatenate(_column(table, c, t)) for c, t in POSTING]
+        cols = [_column(table, c, t) for c, t in POSTING]
         if table.column("part")[0].as_py() < 1 << bits and len(cols[0]):
             at = np.lexsort((cols[1], cols[0]))
             cols = [c[at] for c in cols]

@@ -106,7 +106,7 @@ def test_tokens_keep_64_bits(parts):
     for k in np.unique(number):
         x = g[number == k]
         data = jaccard_join._cut(x, bits)
-        assert len(data) == len(x) * (8 - bits // 8) and (jaccard_join._whole(data, int(k), bits) == x).all()
+        assert len(data) == len(x) * (8 - bits // 8) and (jaccard_join._whole(np.frombuffer(data, np.uint8), int(k), bits) == x).all()
 
 
 def test_jaccard_of_nasty(nasty):
