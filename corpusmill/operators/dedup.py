@@ -119,8 +119,7 @@ def containment_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     q = postings.select("token", F.col("uid").alias("q"), F.col("size").alias("n"), F.col("rest").alias("rq"))
     # sets of one size meet from both sides, at the same token
     pairs = p.join(q, "token").where(f"(m < n or m = n and p < q) and least(rp, rq) >= greatest(1, ceil(m * {share} - 1e-9))").select("p", "q").distinct()
-    for c in "pq":
-        pairs = pairs.join(found.select(F.col("uid").alias(c), F.col("size").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}")), c)
+    pairs = overlap.sets_of_pairs(ws, found, pairs, "candidates", "p", "q")
 
     def verify(batches):
         for batch in batches:

@@ -1,13 +1,16 @@
 """Which sets share elements: sets of 64-bit tokens, put into one order, and posted under their tokens.
 
-Tokens are shuffled in packed blocks, one for each range of tokens and input slice,
-without the bytes that the range's number says.  A range finds the tokens of several
-sets and how many have them, and sends them back to the sets; each is then in the
-order of its tokens' frequencies, rarest first, without those that it has alone.
+Tokens are shuffled in packed blocks, one for each range of tokens and input slice:
+without the bytes that the range's number says, and with a set's place in its slice,
+which is two bytes, so a token costs about ten bytes whatever the number of ranges.  A
+range finds the tokens of several sets and how many have them, and sends them back to
+the slices; each set is then in the order of its tokens' frequencies, rarest first,
+without those that it has alone.  A slice is named by what it holds.  A uid is one set:
+of the slices that hold it one is used, and counts of copies only affect the order.
 
 Tokens that are frequent in some slice are found by a pass before: they are told to all
-tasks, with a count that stands for their order, and are spread by set, so that no
-task gets all sets that have one of them.
+tasks, with a count that stands for their order, and are spread by slice or set, so that
+no task gets all sets that have one of them.
 
 Postings name the sets of a token, with what each has left from that token on: two
 sets share no more than the smaller of these from their first common token on.  Of
@@ -20,14 +23,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import mix
 from ..storage import Workspace
 
-#: Tokens of a slice.
+#: Tokens of a slice, and its sets at most.
 SLICE = 1 << 20
+PLACES = 1 << 16
 CHUNK = 1 << 18
 #: A token of so many sets of a slice, and of one in FREQUENT_SHARE of them, is spread by set.
 FREQUENT_LEAST = 32
@@ -35,8 +40,10 @@ FREQUENT_SHARE = 64
 #: So many of these tokens are sent to every task; others take the usual way, with the same result.
 FREQUENT_MOST = 50_000
 FREQUENT_ORDER = 1 << 30
-PACKED = "part int, uid binary, size binary, run binary, gram binary"
-SHARED = "to int, uid binary, size binary, run binary, gram binary, df binary"
+#: Ids that are sent to every task, to choose rows by; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
+PACKED = "part int, slice long, place binary, gram binary"
+SHARED = "slice long, place binary, gram binary, df binary"
 POSTING = (("token", np.uint64), ("uid", np.int64), ("size", np.int32), ("rest", np.int32), ("alone", np.float32), ("probe", np.int8))
 Sets = Callable[[pa.RecordBatch], Iterator[tuple[list[int], Callable[[list[int]], list[np.ndarray]]]]]
 
@@ -104,9 +111,9 @@ def flushed(sets_of: Sets, flush: Callable) -> Callable:
                         uids.append(ids[k])
                         sets.append(s)
                         held += len(s)
-                if held >= SLICE:
-                    yield flush(np.array(uids, np.int64), sets)
-                    uids, sets, held = [], [], 0
+                    if held >= SLICE or len(uids) == PLACES:
+                        yield flush(np.array(uids, np.int64), sets)
+                        uids, sets, held = [], [], 0
         if sets:
             yield flush(np.array(uids, np.int64), sets)
 
@@ -130,12 +137,12 @@ def frequent_tokens(rows: DataFrame, sets_of: Sets) -> tuple[np.ndarray, np.ndar
     return token[at], (FREQUENT_ORDER + np.minimum(n[at], FREQUENT_ORDER - 1)).astype(np.int32)
 
 
-def _parts(token: np.ndarray, uid: np.ndarray, parts: int, frequent) -> np.ndarray:
-    """The range of each token; of a frequent one, after the ranges, the set's share."""
+def _parts(token: np.ndarray, spread: np.ndarray, parts: int, frequent) -> np.ndarray:
+    """The range of each token; of a frequent one, after the ranges, a share by the hash ``spread``."""
     bits = range_bits(parts)
     part = (token >> np.uint64(64 - bits)).astype(np.int32)
     _, often = find(frequent.value[0], token)
-    part[often] = (1 << bits) + (mix(uid[often].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    part[often] = (1 << bits) + (spread[often] % np.uint64(parts)).astype(np.int32)
     return part
 
 
@@ -143,85 +150,90 @@ def _emit(parts: int, sets_of: Sets, frequent):
     bits = range_bits(parts)
 
     def flush(uids, sets):
-        sizes = np.array([len(s) for s in sets])
-        g, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        part = _parts(g, uids[of], parts, frequent)
+        sizes = np.array([len(s) for s in sets], np.int32)
+        g, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        with np.errstate(over="ignore"):
+            name = mix((mix(uids.view(np.uint64)) * np.arange(1, len(uids) + 1, dtype=np.uint64)).sum(keepdims=True))
+        part = _parts(g, np.broadcast_to(name, len(g)), parts, frequent)
         at = np.argsort(part, kind="stable")
         g, of, part = g[at], of[at], part[at]
-        cols: list[list] = [[], [], [], [], []]
+        # the slice itself: its uids, and the sizes of their sets
+        cols = [[-1 - int(name[0] % np.uint64(parts))], [sizes.tobytes()], [uids.tobytes()]]
         for a, k in zip(*runs(part)):
-            s, run = runs(of[a : a + k])
-            d, number = of[a : a + k][s], int(part[a])
-            for c, v in zip(cols, (number, uids[d].tobytes(), sizes[d].astype(np.int32).tobytes(), run.astype(np.int32).tobytes(), cut(g[a : a + k], bits if number < 1 << bits else 0))):
+            number = int(part[a])
+            for c, v in zip(cols, (number, of[a : a + k].tobytes(), cut(g[a : a + k], bits if number < 1 << bits else 0))):
                 c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "uid", "size", "run", "gram"])
+        names = pa.array(np.full(len(cols[0]), name.view(np.int64)[0]))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), names, *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "slice", "place", "gram"])
 
     return flushed(sets_of, flush)
 
 
 def _shared(parts: int, frequent):
-    """Of one range of tokens: those of several sets, with the number of sets, packed by set."""
+    """Of one range of tokens: those of several sets, with the number of sets, packed by slice; slices themselves pass."""
     bits = range_bits(parts)
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("part")[0].as_py()
+        if number < 0:
+            return table.select(["slice", "place", "gram"]).append_column("df", pa.nulls(len(table), pa.binary()))
         often = number >= 1 << bits
-        uids, sizes, each = (values(table, c, t) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
-        g = whole(values(table, "gram", np.uint8), number, 0 if often else bits)
+        names, code = np.unique(table.column("slice").to_numpy(), return_inverse=True)
+        ends = np.cumsum(pc.binary_length(table.column("place")).to_numpy() // 2)
+        place, g = values(table, "place", np.uint16), whole(values(table, "gram", np.uint8), number, 0 if often else bits)
         del table
         if often:
             at = np.arange(len(g))
         else:
-            s = np.sort(g)
-            many = np.unique(s[1:][s[1:] == s[:-1]])
-            del s
+            x = np.sort(g)
+            many = np.unique(x[1:][x[1:] == x[:-1]])
+            del x
             # most tokens have one set: only the others are told whose they are
             at = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(find(many, g[k : k + CHUNK])[1]) + k for k in range(0, len(g) if len(many) else 0, CHUNK))])
-        which = np.searchsorted(np.cumsum(each), at, side="right")
-        g, uid, size = g[at], uids[which], sizes[which]
+        g, own = g[at], (code[np.searchsorted(ends, at, side="right")].astype(np.int64) << 16) | place[at]
         df = np.zeros(0, np.int32)
         if len(g):
-            at = np.lexsort((uid, g))
-            g, uid, size = g[at], uid[at], size[at]
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (uid[1:] != uid[:-1])])  # a uid is one set
-            g, uid, size = g[new], uid[new], size[new]
+            at = np.lexsort((own, g))
+            g, own = g[at], own[at]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (own[1:] != own[:-1])])  # equal slices are one
+            g, own = g[new], own[new]
             if often:
                 df = frequent.value[1][find(frequent.value[0], g)[0]]
             else:
                 _, k = runs(g)
                 df = np.repeat(k, k)
-                keep = df > 1
-                g, uid, size, df = g[keep], uid[keep], size[keep], df[keep]
-        to = (mix(uid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        at = np.lexsort((uid, to))
-        g, uid, size, df, to = g[at], uid[at], size[at], df[at], to[at]
-        cols: list[list] = [[] for _ in range(6)]
-        for a, k in zip(*runs(to)):
-            s, run = runs(uid[a : a + k])
-            for c, v in zip(cols, (int(to[a]), uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
+                g, own, df = g[df > 1], own[df > 1], df[df > 1]
+        at = np.argsort(own, kind="stable")
+        g, own, df = g[at], own[at], df[at].astype(np.int32)
+        cols: list[list] = [[] for _ in range(4)]
+        for a, k in zip(*runs(own >> 16)):
+            for c, v in zip(cols, (int(names[own[a] >> 16]), (own[a : a + k] & 0xFFFF).astype(np.uint16).tobytes(), g[a : a + k].tobytes(), df[a : a + k].tobytes())):
                 c.append(v)
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["to", "uid", "size", "run", "gram", "df"])
+        return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["slice", "place", "gram", "df"])
 
     return run
 
 
 def _assemble(enough: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Of one range of sets: those with enough shared tokens, which are in order."""
+    """Of one slice: its sets with enough shared tokens, which are in order."""
 
     def run(table: pa.Table) -> pa.Table:
-        each = values(table, "run", np.int32)
-        uid, size = (np.repeat(values(table, c, t), each) for c, t in (("uid", np.int64), ("size", np.int32)))
-        g, df = values(table, "gram", np.uint64), values(table, "df", np.int32)
+        own = pc.is_null(table.column("df"))
+        whole_slice, table = table.filter(own), table.filter(pc.invert(own))
+        if not len(whole_slice):
+            raise RuntimeError("a slice changed when it was read again: the rows of a task have to keep their order")
+        uids, sizes = (np.frombuffer(whole_slice.column(c)[0].as_py(), t) for c, t in (("gram", np.int64), ("place", np.int32)))
+        place, g, df = (values(table, c, t) for c, t in (("place", np.uint16), ("gram", np.uint64), ("df", np.int32)))
         del table
-        s, k = runs(uid[(at := np.argsort(uid, kind="stable"))])
-        at = at[np.repeat(enough(k, size[at][s]), k)]
-        g, df, uid, size = g[at], df[at], uid[at], size[at]
-        at = np.lexsort((g, df, uid))
-        g, uid, size = g[at], uid[at], size[at]
-        s, k = runs(uid)
+        s, k = runs(place[(at := np.argsort(place, kind="stable"))])
+        at = at[np.repeat(enough(k, sizes[place[at][s]]), k)]
+        g, df, place = g[at], df[at], place[at]
+        at = np.lexsort((g, df, place))
+        g, place = g[at], place[at]
+        s, k = runs(place)
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(uid[s], pa.int64()), pa.array(size[s], pa.int32()), pa.array([g[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary())], names=["uid", "size", "tokens"])
+        return pa.Table.from_arrays([pa.array(uids[place[s]]), pa.array(sizes[place[s]]), pa.array([g[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary())], names=["uid", "size", "tokens"])
 
     return run
 
@@ -240,7 +252,7 @@ def _posted(parts: int, posted: Callable, probing: Callable, frequent):
             token = np.concatenate([x[:m] for x, m in zip(sets, most)])
             of = np.repeat(np.arange(len(sets)), most)
             place = np.concatenate([np.arange(m) for m in most])
-            part = _parts(token, uid[of], parts, frequent)
+            part = _parts(token, mix(uid[of].view(np.uint64)), parts, frequent)
             at = np.argsort(part, kind="stable")
             part, of, place = part[at], of[at], place[at]
             cols = (token[at], uid[of], size[of], k[of] - place, (1 - k / size)[of], place < probes[of])
@@ -290,7 +302,28 @@ def prepare(ws: Workspace, rows: DataFrame, sets_of: Sets, enough: Callable, pos
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows, sets_of))  # FREQUENT_MOST at most
     packed = rows.mapInArrow(_emit(parts, sets_of, frequent), PACKED)
     shared = packed.groupBy("part").applyInArrow(_shared(parts, frequent), SHARED)
-    sets = ws.save(shared.groupBy("to").applyInArrow(_assemble(enough), "uid long, size int, tokens binary"), "sets")
-    first = sets.mapInArrow(_posted(parts, posted, probing, frequent), "part int, " + ", ".join(f"{c} binary" for c, _ in POSTING))
+    sets = ws.save(shared.groupBy("slice").applyInArrow(_assemble(enough), "uid long, size int, tokens binary"), "sets-of-slices")
+    again = sets.groupBy("uid").count().where("count > 1").select("uid")
+    if again.isEmpty():
+        one = sets
+    else:
+        one = ws.save(chosen(sets, again, "uid").dropDuplicates(["uid"]).union(chosen(sets, again, "uid", "left_anti")), "sets")
+        ws.drop("sets-of-slices")
+    first = one.mapInArrow(_posted(parts, posted, probing, frequent), "part int, " + ", ".join(f"{c} binary" for c, _ in POSTING))
     lists = first.groupBy("part").applyInArrow(_lists(parts), "token long, uid long, size int, rest int, alone float, probe boolean")
-    return sets, ws.save(lists, "postings")
+    return one, ws.save(lists, "postings")
+
+
+def chosen(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows with one of the ids, or without: few ids are sent to the rows, which stay where they are."""
+    few = len(ids.limit(BROADCAST_ROWS + 1).groupBy().count().where(f"count <= {BROADCAST_ROWS}").take(1)) > 0
+    return rows.join(F.broadcast(ids) if few else ids, column, how)
+
+
+def sets_of_pairs(ws: Workspace, sets: DataFrame, pairs: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """``pairs`` with the size and tokens of both; what is shuffled are the sets that some pair has."""
+    pairs = ws.save(pairs, name)
+    wanted = chosen(sets, pairs.select(F.col(a).alias("uid")).union(pairs.select(b)).distinct(), "uid")
+    for c in (a, b):
+        pairs = pairs.join(wanted.select(F.col("uid").alias(c), F.col("size").alias(f"size_{c}"), F.col("tokens").alias(f"tokens_{c}")), c)
+    return pairs
