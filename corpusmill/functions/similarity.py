@@ -137,7 +137,7 @@ def bag(texts: pd.Series) -> np.ndarray:
     """A folded character histogram: the sum of minima of two bounds their LCS from above."""
     out = np.zeros((len(texts), BINS), np.int32)
     for k, t in enumerate(texts):
-        np.add.at(out[k], np.frombuffer(t.encode("utf-32-le"), np.uint32) % BINS, 1)
+        out[k] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS)
     return out
 
 

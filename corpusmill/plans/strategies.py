@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import logging
 from collections.abc import Callable
 
@@ -31,10 +33,16 @@ def register_strategy(name: str, load: Callable[[TokenizerSpec, dict, dict], Str
 
 
 def load_strategy(name: str, tokenizer: TokenizerSpec, cfg: dict, dataset: dict | None = None) -> Strategy | None:
-    if name not in _strategies:
+    """A registered strategy, or ``package.module:function`` (by default ``load``); None, with a warning, if there is none."""
+    load = _strategies.get(name)
+    if load is None and "." in name:
+        module, _, function = name.partition(":")
+        if importlib.util.find_spec(module.split(".")[0]) is not None:
+            load = getattr(importlib.import_module(module), function or "load", None)
+    if load is None:
         LOG.warning("no prompt strategy is named %s", name)
         return None
-    return _strategies[name](tokenizer, cfg, dataset or {})
+    return load(tokenizer, cfg, dataset or {})
 
 
 def tokenize(text: Column, spec: TokenizerSpec, most: int, add_eos: bool = True, strip_bos: bool = False, eos_past_end: bool = False) -> Column:

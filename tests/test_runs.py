@@ -164,6 +164,13 @@ def test_upload_and_token(monkeypatch, tmp_path):
         upload("/x", {})
 
 
+def test_strategies_by_module(spark):
+    df = spark.range(5)
+    assert load_strategy("corpusmill.plans.strategies:filter_only", TokenizerSpec(), {})(df).count() == 5
+    assert load_strategy("no_such.module", TokenizerSpec(), {}) is None and load_strategy("none", TokenizerSpec(), {}) is None
+    assert load_strategy("corpusmill.plans.strategies:no_such", TokenizerSpec(), {}) is None
+
+
 def test_device():
     assert pick_device("cuda:1") == "cuda:1" and pick_device() in ("cpu", "cuda", "xpu", "mps")
 
