@@ -34,11 +34,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def n_parts(spark: SparkSession) -> int:
-    """The session's shuffle width: it is what the operator of a cluster sizes to the data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # hashing:
 #: ASCII letters and digits and every byte of a non-ASCII character.
 WORD_BYTE = np.zeros(256, bool)
@@ -95,10 +90,6 @@ def lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(col, ""))
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 LETTER_BYTE = np.zeros(256, bool)
 LETTER_BYTE[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]] = True
 

@@ -12,14 +12,9 @@ A: rarest first; B: by a hash; C: most frequent first.  Postings of A's prefixes
 give candidates; those that share no token of B's and of C's prefixes are dropped,
 and the rest verified on the whole sets.
 
-Tokens are 64-bit hashes, whatever the number of partitions.  They are shuffled in
-packed blocks, one for each range of hashes and input slice, without the bytes that
-the range's number says.  Tokens that are frequent in some slice are found by a pass
-before: they are told to all tasks, with a number of documents that counts for their
-order, and are spread by text, so no task gets all texts that have one of them.
-
-Order A also bounds a pair: from its first common token on, neither text has more
-than its tokens left to share.  Of tokens with the same texts the first is enough.
+Tokens are 64-bit hashes, whatever the number of partitions; how they are shuffled,
+ordered and posted is said in ``operators.overlap``.  Order A also bounds a pair: from
+its first common token on, neither text has more than its tokens left to share.
 
 Groups of n near copies have n^2 pairs; for groups only those that join two
 components matter.  Within a posting, the texts are tried in rounds against its
@@ -43,21 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, gram_hashes, lower, mix, n_parts, signed, slices, small_batches, span_hashes, text_bytes, words
+from ..operators import overlap
+from ..operators.overlap import common
+from .common import Workspace, gram_hashes, lower, mix, slices, small_batches, span_hashes, text_bytes, words
 from .components import components, relabel
 
 N = 4
 THRESHOLD = 0.5
-FLUSH_BYTES = 4 << 20
-CHUNK = 1 << 18
-#: Removed ids are sent to every task up to this number, beyond it both sides are shuffled.
+#: Removed ids, and roots of components, are sent to every task up to this number, beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
-#: A token of so many texts of a slice, and of one in FREQUENT_SHARE of them, is spread by text.
-FREQUENT_LEAST = 32
-FREQUENT_SHARE = 64
-#: So many of these tokens are sent to every task; others take the usual way, with the same result.
-FREQUENT_MOST = 50_000
-FREQUENT_ORDER = 1 << 30
 
 
 def need(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -77,252 +66,21 @@ def token_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of runs of equal values."""
-    s = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return s, np.diff(np.append(s, len(x)))
-
-
-def _flushed(texts: str, n: int, flush):
-    """A function of batches that calls ``flush`` on some FLUSH_BYTES of texts at a time, each text once a task."""
-
-    def run(batches):
-        uids, sets, held, seen = [], [], 0, set()
-        for batch in batches:
-            for part in slices(batch, texts):
-                new = [k for k, u in enumerate(part.column("uid").to_pylist()) if u not in seen and not seen.add(u)]
-                part = part.take(pa.array(new, pa.int64()))
-                for u, s in zip(part.column("uid").to_pylist(), token_sets(part.column(texts), n)):
-                    if len(s):
-                        uids.append(u)
-                        sets.append(s)
-                held += part.column(texts).nbytes
-                if held >= FLUSH_BYTES and sets:
-                    yield flush(np.array(uids, np.int64), sets)
-                    uids, sets, held = [], [], 0
-        if sets:
-            yield flush(np.array(uids, np.int64), sets)
-
-    return run
-
-
-def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, order) of those that are frequent in a slice: ascending tokens, and their texts in such slices."""
-
-    def flush(uids, sets):
-        g = np.sort(np.concatenate(sets))
-        s, k = _runs(g)
-        many = k >= max(FREQUENT_LEAST, len(sets) / FREQUENT_SHARE)
-        return pa.RecordBatch.from_arrays([pa.array(signed(g[s[many]]), pa.int64()), pa.array(k[many], pa.int64())], names=["token", "texts"])
-
-    counted = docs.mapInArrow(_flushed("text", n, flush), "token long, texts long").groupBy("token").agg(F.sum("texts").alias("texts"))
-    rows = counted.orderBy(F.desc("texts"), "token").limit(FREQUENT_MOST).toArrow()
-    token, texts = rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("texts").to_numpy()
-    at = np.argsort(token)
-    return token[at], (FREQUENT_ORDER + np.minimum(texts[at], FREQUENT_ORDER - 1)).astype(np.int32)
-
-
-def _find(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, whether there) of values in an ascending array."""
-    if not len(among):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
-    return at, among[at] == x
-
-
-def _bits(parts: int) -> int:
-    """Ranges of tokens are told by so many upper bits: one or two ranges a partition."""
-    return parts.bit_length()
-
-
-def _cut(g: np.ndarray, bits: int) -> bytes:
-    """Tokens of one range without whole bytes of the upper bits."""
-    return g.view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes()
-
-
-def _whole(data: np.ndarray, number: int, bits: int) -> np.ndarray:
-    """The tokens of ``_cut``'s bytes."""
-    if bits < 8:
-        return data.view(np.uint64)
-    x = data.reshape(-1, 8 - bits // 8)
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, : x.shape[1]] = x
-    g = out.view(np.uint64).ravel()
-    return g | np.uint64((number << (64 - bits)) & (0xFFFFFFFFFFFFFFFF << (8 * x.shape[1])) & 0xFFFFFFFFFFFFFFFF)
-
-
-def _emit(parts: int, n: int, frequent):
-    bits = _bits(parts)
-
-    def flush(uids, sets):
-        sizes = np.array([len(s) for s in sets])
-        g, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        part = (g >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(g), np.int32)
-        _, often = _find(frequent.value[0], g)
-        part[often] = (1 << bits) + (mix(uids[of[often]].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        at = np.argsort(part, kind="stable")
-        g, of, part = g[at], of[at], part[at]
-        cols: list[list] = [[], [], [], [], []]
-        for a, k in zip(*_runs(part)):
-            s, run = _runs(of[a : a + k])
-            d, number = of[a : a + k][s], int(part[a])
-            for c, v in zip(cols, (number, uids[d].tobytes(), sizes[d].astype(np.int32).tobytes(), run.astype(np.int32).tobytes(), _cut(g[a : a + k], bits if number < 1 << bits else 0))):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "uid", "size", "run", "gram"])
-
-    return _flushed("text", n, flush)
-
-
-def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    """A binary column's values as one array, read where they lie."""
-    parts = [np.zeros(0, dtype)]
-    for chunk in table.column(name).chunks:
-        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype))
-    return np.concatenate(parts) if len(parts) > 2 else parts[-1]
-
-
-def _shared(parts: int, frequent):
-    """Of one range of tokens: those of several texts, with their document frequency, packed by text."""
-    bits = _bits(parts)
-
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("part")[0].as_py()
-        often = number >= 1 << bits
-        uids, sizes, runs = (_column(table, c, t) for c, t in (("uid", np.int64), ("size", np.int32), ("run", np.int32)))
-        g = _whole(_column(table, "gram", np.uint8), number, 0 if often else bits)
-        del table
-        if often:
-            at = np.arange(len(g))
-        else:
-            s = np.sort(g)
-            many = np.unique(s[1:][s[1:] == s[:-1]])
-            del s
-            # most tokens have one text: only the others are told whose they are
-            found = [np.zeros(0, np.int64)]
-            for k in range(0, len(g) if len(many) else 0, CHUNK):
-                found.append(np.flatnonzero(_find(many, g[k : k + CHUNK])[1]) + k)
-            at = np.concatenate(found)
-        which = np.searchsorted(np.cumsum(runs), at, side="right")
-        g, uid, size = g[at], uids[which], sizes[which]
-        df = np.zeros(0, np.int32)
-        if len(g):
-            at = np.lexsort((uid, g))
-            g, uid, size = g[at], uid[at], size[at]
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (uid[1:] != uid[:-1])])  # copies have one set
-            g, uid, size = g[new], uid[new], size[new]
-            if often:
-                df = frequent.value[1][_find(frequent.value[0], g)[0]]
-            else:
-                _, k = _runs(g)
-                df = np.repeat(k, k)
-                keep = df > 1
-                g, uid, size, df = g[keep], uid[keep], size[keep], df[keep]
-        to = (mix(uid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        at = np.lexsort((uid, to))
-        g, uid, size, df, to = g[at], uid[at], size[at], df[at], to[at]
-        cols: list[list] = [[] for _ in range(6)]
-        for a, k in zip(*_runs(to)):
-            s, run = _runs(uid[a : a + k])
-            for c, v in zip(cols, (int(to[a]), uid[a : a + k][s].tobytes(), size[a : a + k][s].tobytes(), run.astype(np.int32).tobytes(), g[a : a + k].tobytes(), df[a : a + k].astype(np.int32).tobytes())):
-                c.append(v)
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["to", "uid", "size", "run", "gram", "df"])
-
-    return run
-
-
-def _assemble(threshold: float):
-    """Of one range of texts: those that can have a partner, with their shared tokens in order A."""
-
-    def run(table: pa.Table) -> pa.Table:
-        runs = _column(table, "run", np.int32)
-        uid, size = (np.repeat(_column(table, c, t), runs) for c, t in (("uid", np.int64), ("size", np.int32)))
-        g, df = _column(table, "gram", np.uint64), _column(table, "df", np.int32)
-        del table
-        s, k = _runs(uid[(at := np.argsort(uid, kind="stable"))])
-        ok = k >= need(size[at][s], threshold)
-        at = at[np.repeat(ok, k)]
-        g, df, uid, size = g[at], df[at], uid[at], size[at]
-        at = np.lexsort((g, df, uid))
-        g, uid, size = g[at], uid[at], size[at]
-        s, k = _runs(uid)
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array(uid[s], pa.int64()), pa.array(size[s], pa.int32()), pa.array([g[a : a + c].tobytes() for a, c in zip(s, k)], pa.binary())], names=["uid", "size", "tokens"])
+def _sets_of(n: int) -> overlap.Sets:
+    def of(batch):
+        for part in slices(batch, "text"):
+            yield part.column("uid").to_pylist(), lambda places, texts=part.column("text"): token_sets(texts.take(pa.array(places, pa.int64())), n)
 
-    return run
+    return of
 
 
 def prepare(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(uid, size, tokens) of each distinct text that can have a partner, with its shared tokens in order A; and postings.
+    """(uid, size, tokens) of each distinct text that can have a partner, with its shared tokens in order A; and postings of A's prefixes.
 
     ``docs`` has uid and text; both results are written to the workspace.
     """
-    spark = docs.sparkSession
-    docs = small_batches(docs)
-    parts = n_parts(spark)
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, n))  # FREQUENT_MOST at most
-    packed = docs.mapInArrow(_emit(parts, n, frequent), "part int, uid binary, size binary, run binary, gram binary")
-    shared = packed.groupBy("part").applyInArrow(_shared(parts, frequent), "to int, uid binary, size binary, run binary, gram binary, df binary")
-    sets = ws.save(shared.groupBy("to").applyInArrow(_assemble(threshold), "uid long, size int, tokens binary"), "sets")
-    prefixes = sets.mapInArrow(_prefixes(parts, threshold, frequent), "part int, token binary, uid binary, size binary, rest binary, alone binary")
-    postings = prefixes.groupBy("part").applyInArrow(_lists(parts), "token long, uid long, size int, rest int, alone float")
-    return sets, ws.save(postings, "postings")
-
-
-POSTING = (("token", np.uint64), ("uid", np.int64), ("size", np.int32), ("rest", np.int32), ("alone", np.float32))
-
-
-def _prefixes(parts: int, threshold: float, frequent):
-    """Of some texts: the tokens of A's prefixes, packed by range, with what is left from each on; frequent ones by text."""
-    bits = _bits(parts)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            uid, size = batch.column("uid").to_numpy(), batch.column("size").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
-            k = np.array([len(x) for x in sets])
-            most = k - need(size, threshold) + 1
-            token = np.concatenate([x[:m] for x, m in zip(sets, most)])
-            of = np.repeat(np.arange(len(sets)), most)
-            rest = np.concatenate([np.arange(c, c - m, -1) for c, m in zip(k, most)])
-            part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
-            often = _find(frequent.value[0], token)[1]
-            part[often] = (1 << bits) + (mix(uid[of[often]].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            at = np.argsort(part, kind="stable")
-            part, of = part[at], of[at]
-            values = (token[at], uid[of], size[of], rest[at], (1 - k / size)[of])
-            rows = [(int(part[a]), *(v[a : a + c].astype(t).tobytes() for v, (_, t) in zip(values, POSTING))) for a, c in zip(*_runs(part))]
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", *(c for c, _ in POSTING)])
-
-    return run
-
-
-def _lists(parts: int):
-    """Of one range of tokens: those with several texts, and of those with the same texts the first in order A."""
-    bits = _bits(parts)
-
-    def run(table: pa.Table) -> pa.Table:
-        cols = [_column(table, c, t) for c, t in POSTING]
-        if table.column("part")[0].as_py() < 1 << bits and len(cols[0]):
-            at = np.lexsort((cols[1], cols[0]))
-            cols = [c[at] for c in cols]
-            token, uid, _, rest, _ = cols
-            s, k = _runs(token)
-            with np.errstate(over="ignore"):
-                x, y = (np.add.reduceat(mix(uid.view(np.uint64) ^ np.uint64(m)), s) for m in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            order = np.lexsort((-rest[s], y, x, k))
-            first = np.ones(len(s), bool)
-            first[1:] = (k[order][1:] != k[order][:-1]) | (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
-            keep = np.zeros(len(s), bool)
-            keep[order] = first
-            cols = [c[np.repeat(keep & (k > 1), k)] for c in cols]
-        return pa.Table.from_arrays([pa.array(c.view(np.int64) if t is np.uint64 else c) for c, (_, t) in zip(cols, POSTING)], names=[c for c, _ in POSTING])
-
-    return run
+    prefix = lambda k, size: k - need(size, threshold) + 1
+    return overlap.prepare(ws, small_batches(docs), _sets_of(n), lambda k, size: k >= need(size, threshold), prefix, prefix)
 
 
 def _verify(threshold: float):
@@ -343,16 +101,16 @@ def _verify(threshold: float):
                 if u not in kept:
                     if len(kept) > 256:
                         kept.clear()
-                    t = np.frombuffer(rows[f"{c}_tokens"][r], np.uint64)
-                    kept[u] = (np.sort(t), *(np.sort(p) for p in prefixes(t, rows[f"{c}_size"][r])))
+                    t = np.frombuffer(rows[f"tokens_{c}"][r], np.uint64)
+                    kept[u] = (np.sort(t), *(np.sort(p) for p in prefixes(t, rows[f"size_{c}"][r])))
                 return kept[u]
 
             for r in range(batch.num_rows):
-                m, n = rows["a_size"][r], rows["b_size"][r]
+                m, n = rows["size_a"][r], rows["size_b"][r]
                 x, y = side("a", r), side("b", r)
-                if not (_overlap(x[1], y[1]) and _overlap(x[2], y[2])):
+                if not (common(x[1], y[1]) and common(x[2], y[2])):
                     continue
-                both = _overlap(x[0], y[0])
+                both = common(x[0], y[0])
                 if both >= threshold * (m + n - both) - 1e-9:
                     for c, v in zip(out, (rows["a"][r], rows["b"][r], both / (m + n - both))):
                         c.append(v)
@@ -361,23 +119,10 @@ def _verify(threshold: float):
     return run
 
 
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Common values of two ascending arrays."""
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x):
-        return 0
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
-
-
-def verify(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def verify(ws: Workspace, sets: DataFrame, pairs: DataFrame, threshold: float, name: str = "pairs") -> DataFrame:
     """(a, b, jaccard) of the candidate pairs (a, b) that are similar enough."""
-    for c in "ab":
-        pairs = pairs.join(sets.select(F.col("uid").alias(c), F.col("size").alias(f"{c}_size"), F.col("tokens").alias(f"{c}_tokens")), c)
     # a row is two sets: few rows to a batch
-    return pairs.select("a", "b", *(f"{c}_{k}" for c in "ab" for k in ("size", "tokens"))).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
+    return overlap.sets_of_pairs(ws, sets, pairs, name, "a", "b").select("a", "b", *(f"{k}_{c}" for c in "ab" for k in ("size", "tokens"))).mapInArrow(_verify(threshold), "a long, b long, jaccard double")
 
 
 def _can_match(threshold: float) -> str:
@@ -393,7 +138,7 @@ def _sides(p: DataFrame, q: DataFrame, *more: str) -> DataFrame:
 def similar_pairs(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of distinct texts (a < b, by uid) with their similarity: the join itself, quadratic within groups."""
     sets, p = prepare(ws, docs, n, threshold)
-    return verify(sets, _sides(p, p).where(f"a < b and {_can_match(threshold)}").select("a", "b").distinct(), threshold)
+    return verify(ws, sets, _sides(p, p).where(f"a < b and {_can_match(threshold)}").select("a", "b").distinct(), threshold)
 
 
 def _open(active: DataFrame, tried: int) -> DataFrame:
@@ -404,29 +149,29 @@ def _open(active: DataFrame, tried: int) -> DataFrame:
 
 def groups(ws: Workspace, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): the component of each distinct text (uid) that is linked to a smaller one."""
-    sets, postings = prepare(ws, docs, n, threshold)
-    active, found, lo, hi, step = postings.withColumn("comp", F.col("uid")), None, 0, 1, 0
-    while True:
-        active = ws.save(_open(active, lo), f"active-{step}")
-        ws.drop(f"active-{step - 1}" if step else "postings")
-        if active.isEmpty():
-            break
+    sets, active = prepare(ws, docs, n, threshold)
+    active, found, lo, hi, step = active.drop("probe").withColumn("comp", F.col("uid")), None, 0, 1, 0
+    while not active.isEmpty():
         rank = F.row_number().over(Window.partitionBy("token").orderBy("alone", "uid"))
         p = active.withColumn("rank", rank).where(f"rank <= {hi}").where(f"rank > {lo}")
         pairs = _sides(p, active, "comp").where(f"a_comp <> b_comp and {_can_match(threshold)}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = ws.save(verify(sets, pairs, threshold).select("a", "b"), f"edges-{step}")
+        edges = ws.save(verify(ws, sets, pairs, threshold, f"pairs-{step}").select("a", "b"), f"edges-{step}")
         if found is not None:
             ab = relabel(edges.select(F.col("a").alias("root"), F.col("b").alias("node")), found).select(F.col("root").alias("a"), F.col("node").alias("root"))
             edges = relabel(ab.select("root", F.col("a").alias("node")), found).select(F.col("node").alias("a"), F.col("root").alias("b"))
         new = components(ws, edges, f"cc-{step}")
         found = ws.save(new if found is None else relabel(found, new).unionByName(new), f"found-{step}")
-        for name in (f"edges-{step}", f"cc-{step}", *([f"found-{step - 1}"] if step else [])):
-            ws.drop(name)
         up = found.select(F.col("node").alias("uid"), F.col("root").alias("up"))
+        if up.count() <= BROADCAST_ROWS:
+            up = F.broadcast(up)
         active = active.drop("comp").join(up, "uid", "left").withColumn("comp", F.coalesce("up", "uid")).drop("up")
+        active = ws.save(_open(active, hi), f"active-{step}")
+        for name in (f"pairs-{step}", f"edges-{step}", f"cc-{step}", *([f"found-{step - 1}", f"active-{step - 1}"] if step else ["postings"])):
+            ws.drop(name)
         lo, hi, step = hi, 4 * hi, step + 1
-    ws.drop("sets")
+    for name in ("sets", "sets-of-slices"):
+        ws.drop(name)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "node long, root long")
     return found

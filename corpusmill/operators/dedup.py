@@ -36,6 +36,8 @@ LOG = logging.getLogger(__name__)
 METHODS = ("fuzzy", "ngram", "combined")
 #: An external side with up to this many rows is sent to the tasks; beyond it, it is shuffled.
 BROADCAST_ROWS = 10_000
+#: The same for the distinct grams of an external side.
+BROADCAST_GRAMS = 1_000_000
 #: The same for the characters of an external side's strings.
 BROADCAST_CHARS = 4 << 20
 
@@ -199,12 +201,25 @@ def _near_a_few(rows: DataFrame, strings: list[str], threshold: float, least: in
 
 
 def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
-    """Rows that share a gram with an external text, whatever the threshold."""
+    """Rows that share a gram with an external text, whatever the threshold.
+
+    Few grams are sent to the rows, in a scan without a shuffle; beyond BROADCAST_GRAMS
+    both sides are shuffled.
+    """
     theirs = grams_of(external, tokenizer, n).select(F.explode("grams").alias("g")).distinct()
-    if theirs.count() <= BROADCAST_ROWS * 10:  # else both sides are shuffled
-        theirs = F.broadcast(theirs)
-    ours = grams_of(rows, tokenizer, n).select(ROW_ID, F.explode("grams").alias("g"))
-    return ours.join(theirs, "g", "left_semi").select(ROW_ID).distinct()
+    ours = grams_of(rows, tokenizer, n)
+    some = theirs.limit(BROADCAST_GRAMS + 1).toArrow().column("g").to_numpy()
+    if len(some) > BROADCAST_GRAMS:
+        return ours.select(ROW_ID, F.explode("grams").alias("g")).join(theirs, "g", "left_semi").select(ROW_ID).distinct()
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(some))
+
+    @F.arrow_udf("boolean")
+    def hit(grams: pa.Array) -> pa.Array:
+        found = np.concatenate([[0], np.cumsum(overlap.find(sent.value, grams.flatten().to_numpy())[1])])
+        ends = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.list_value_length(grams), 0).to_numpy()]))
+        return pa.array(found[ends[1:]] > found[ends[:-1]])
+
+    return ours.where(hit("grams")).select(ROW_ID)
 
 
 class Deduplicator(Processor):

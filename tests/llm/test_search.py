@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import components as cc
 from corpusmill.llm import decontamination, embedding_dedup, jaccard_join, licenses
 from corpusmill.llm.common import WORD_BYTE, Workspace, squeeze, text_bytes
+from corpusmill.operators import overlap
 from tests.llm.conftest import sentence
 
 WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
@@ -82,11 +83,11 @@ def test_jaccard_groups_and_pairs(spark, seed):
 @pytest.mark.parametrize("parts", [2, 8, 200])
 def test_jaccard_groups_whatever_the_partitions(spark, monkeypatch, parts):
     """Also with tokens that are spread by text, as they are frequent in a slice."""
-    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 5)
-    monkeypatch.setattr(jaccard_join, "FLUSH_BYTES", 2000)
+    monkeypatch.setattr(overlap, "FREQUENT_LEAST", 5)
+    monkeypatch.setattr(overlap, "SLICE", 500)
     texts = family_texts(7)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert len(jaccard_join.frequent_tokens(jaccard_join._keyed(df).select("uid", "text"), jaccard_join.N)[0])
+    assert len(overlap.frequent_tokens(jaccard_join._keyed(df).select("uid", "text"), jaccard_join._sets_of(jaccard_join.N))[0])
     sets = [grams(t) for t in texts]
     root = roots(range(len(texts)), [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) - 1e-9])
     want = {(k, root[k]) for k in root if sum(r == root[k] for r in root.values()) > 1}
@@ -98,17 +99,6 @@ def test_jaccard_groups_whatever_the_partitions(spark, monkeypatch, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 51, 256, 1000, 70_000])
-def test_tokens_keep_64_bits(parts):
-    g = np.sort(np.random.default_rng(parts).integers(0, 1 << 64, 3000, np.uint64))
-    bits = jaccard_join._bits(parts)
-    number = (g >> np.uint64(64 - bits)).astype(int) if bits else np.zeros(len(g), int)
-    for k in np.unique(number):
-        x = g[number == k]
-        data = jaccard_join._cut(x, bits)
-        assert len(data) == len(x) * (8 - bits // 8) and (jaccard_join._whole(np.frombuffer(data, np.uint8), int(k), bits) == x).all()
-
-
 def test_jaccard_of_nasty(nasty):
     got = {(r["doc_id"], r["group_id"]) for r in jaccard_join.near_duplicates(nasty).collect()}
     assert {(1, None), (3, None), (None, None), (7, 7), (8, 7), (9, 9), (10, 9), (2, 2)} == got
