@@ -2,8 +2,8 @@
 
 Fuzzy: over distinct strings, row r of string s goes if some similar t (ratio of at
 least the threshold) has r > min(first(s), first(t)); with ``remove_exact`` also if
-r > first(s).  Pairs come from an equi-join on length classes, a character-bag
-bound, and a bit-parallel LCS with early exit.
+r > first(s).  Texts meet in pairs of blocks whose lengths can reach the threshold;
+in one, many texts are held against one by bit-parallel LCS (``similarity.Matcher``).
 
 N-gram: rows in order; a row that is kept removes later ones whose containment
 100 |A n B| / min(|A|, |B|) reaches the threshold.  Copies are collapsed first; pairs
@@ -19,8 +19,8 @@ import logging
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +40,65 @@ BROADCAST_ROWS = 10_000
 BROADCAST_GRAMS = 1_000_000
 #: The same for the characters of an external side's strings.
 BROADCAST_CHARS = 4 << 20
+#: Characters of a block of texts that is compared with others in one task.
+BLOCK_CHARS = 1 << 19
+#: A class of length is so wide, in the logarithm.
+LENGTH_CLASS = 0.05
+
+
+def _blocks(tables: tuple[DataFrame, DataFrame], threshold: float, same: bool) -> tuple[DataFrame, int]:
+    """(p, q, right, id, s) of all pairs of blocks of the two tables that lengths don't rule out, and the number of pairs.
+
+    A block is some BLOCK_CHARS characters of texts (id, s) of one class of length, chosen by
+    hash.  Per class, its blocks and those that they meet are ranges of numbers: only these
+    are known to the driver, some hundred classes at most.
+    """
+    k = F.when(F.length("s") == 0, -1).otherwise(F.floor(F.log(F.length("s").cast("double")) / LENGTH_CLASS + 1e-9).cast("int"))
+    tables = tuple(t.where("s is not null").select("id", "s", k.alias("k")) for t in tables)
+    sizes = [{r["k"]: r["chars"] for r in t.groupBy("k").agg(F.sum(F.length("s").cast("long") + 1).alias("chars")).collect()} for t in (tables[:1] if same else tables)]
+    sizes += sizes[:1] * same
+    splits = [{x: -(-c // BLOCK_CHARS) for x, c in sorted(s.items())} for s in sizes]
+    begins = [dict(zip(s, np.cumsum([0, *s.values()])[:-1].tolist())) for s in splits]
+    # of a class's least and the next one's: lengths m <= n meet if 200 m / (m + n) reaches the threshold
+    least = -np.inf if threshold <= 0 else np.log(threshold / (200 - threshold)) - 1e-6
+    meet = lambda x, y: threshold <= 0 or (x == y if min(x, y) < 0 else (min(x, y) + 1 - max(x, y)) * LENGTH_CLASS >= least)
+    rows, total = [[], []], 0
+    for side in (0, 1):
+        mine, other = splits[side], splits[1 - side]
+        for x, c in mine.items():
+            partners = [y for y in other if meet(x, y)]
+            if partners:
+                lo, hi = begins[1 - side][partners[0]], begins[1 - side][partners[-1]] + other[partners[-1]] - 1
+                rows[side].append((x, c, begins[side][x], lo, hi))
+                total += c * (hi - lo + 1) * (side == 0)
+    sides = []
+    for side, t in enumerate(tables):
+        ranges = F.broadcast(t.sparkSession.createDataFrame(rows[side], "k int, c long, at long, lo long, hi long"))
+        t = t.join(ranges, "k").withColumn("own", F.col("at") + F.pmod(F.xxhash64("s"), F.col("c")))
+        if same:  # p <= q
+            t = t.withColumn("hi", F.least("hi", "own")) if side else t.withColumn("lo", F.greatest("lo", "own"))
+        t = t.withColumn("other", F.explode(F.sequence("lo", "hi")))
+        p, q = ("other", "own") if side else ("own", "other")
+        sides.append(t.select(F.col(p).alias("p"), F.col(q).alias("q"), F.lit(bool(side)).alias("right"), "id", "s"))
+    return sides[0].union(sides[1]), total // 2 + 1 if same else total
+
+
+def _compared(left: DataFrame, right: DataFrame, threshold: float, same: bool, result, schema: str) -> DataFrame:
+    """``result(pairs)`` of each pair of blocks, where ``pairs`` is ((id, text), (id, text), ratio) of the similar ones."""
+    blocks, total = _blocks((left, right), threshold, same)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_right = table.column("right")
+        a, b = (list(zip(*(t.column(c).to_pylist() for c in ("id", "s")))) for t in (table.filter(pc.invert(is_right)), table.filter(is_right)))
+        one = same and table.column("p")[0] == table.column("q")[0]
+        if not a or not b:
+            return result([])
+        matcher, texts = similarity.Matcher([s for _, s in a], threshold), np.array([s for _, s in a], object)
+        return result([(a[k], y, score) for y in b for k, score in matcher.matches(y[1], texts < y[1] if one else None)])
+
+    # a pair of blocks is much work on few bytes: the number of partitions is not left to their size
+    return blocks.repartition(max(parts, min(total, 16 * parts)), "p", "q").groupBy("p", "q").applyInArrow(compare, schema)
 
 
 def similar_strings(left: DataFrame, right: DataFrame, threshold: float, same: bool) -> DataFrame:
@@ -50,40 +109,47 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float, same: b
         pairs = left.select(F.col("s").alias("a")).join(right.select(F.col("s").alias("b")), F.col("a") == F.col("b"))
         return pairs.where("a < b" if same else "true").withColumn("score", F.lit(100.0))
 
-    @F.pandas_udf("array<int>")
-    def bag(s: pd.Series) -> pd.Series:
-        return pd.Series(list(similarity.bag(s)), index=s.index)
+    def listed(pairs) -> pa.Table:
+        rows = [(*(sorted((x[1], y[1])) if same else (x[1], y[1])), score) for x, y, score in pairs]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "score"])
 
-    described = [t.select("s").distinct().withColumn("n", F.length("s")).withColumn("h", bag("s")) for t in (left, right)]
-    if threshold > 0:
-        k = similarity.band(F.col("n"), threshold)
-        # the right side is in its class and both neighbours, so each pair meets once
-        a = described[0].withColumn("k", k)
-        b = described[1].withColumn("k", F.explode(F.array(k - 1, k, k + 1)))
-    else:
-        a, b = (t.withColumn("k", F.lit(0)) for t in described)
-    a = a.toDF("a", "m", "ha", "k")
-    b = b.toDF("b", "n", "hb", "k")
-    pairs = a.join(b, "k").where("a < b" if same else "true").where(F.lit(200.0) * F.least("m", "n") >= threshold * (F.col("m") + F.col("n")) - 1e-6)
-    bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = pairs.where(F.lit(200.0) * bound >= threshold * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
-    # verification is the costly part: spread the candidates evenly
-    pairs = pairs.repartition(F.xxhash64("a", "b"))
-    return pairs.withColumn("score", similarity.ratio_column(F.col("a"), F.col("b"), threshold)).where(F.col("score") >= threshold)
+    return _compared(*(t.select("s").distinct().select(F.lit(0).cast("long").alias("id"), "s") for t in (left, right)), threshold, same, listed, "a string, b string, score double")
+
+
+def _least_partners(first: DataFrame, threshold: float) -> DataFrame:
+    """(id, other): of each of the distinct texts with a similar one, the least id of these; pairs of blocks give theirs, not all pairs."""
+
+    def least(pairs) -> pa.Table:
+        found: dict[int, int] = {}
+        for (i, _), (j, _), _ in pairs:
+            for x, y in ((i, j), (j, i)):
+                found[x] = min(y, found.get(x, y))
+        return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["id", "other"])
+
+    return _compared(first, first, threshold, True, least, "id long, other long").groupBy("id").agg(F.min("other").alias("other"))
 
 
 def fuzzy_removed(rows: DataFrame, threshold: float, remove_exact: bool = True, max_matches: int | None = None) -> DataFrame:
     """The ids that go, of rows (ROW_ID, s)."""
     first = rows.where("s is not null").groupBy("s").agg(F.min(ROW_ID).alias("first"))
-    pairs = similar_strings(first, first, threshold, same=True)
-    both = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score")).toDF("s", "t", "score")
     if max_matches:
+        pairs = similar_strings(first, first, threshold, same=True)
+        both = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score")).toDF("s", "t", "score")
         best = Window.partitionBy("s").orderBy(F.desc("score"), "t")
         both = both.withColumn("k", F.row_number().over(best)).where(F.col("k") <= max_matches)
-    other = first.select(F.col("s").alias("t"), F.col("first").alias("other"))
-    least = both.join(other, "t").groupBy("s").agg(F.min("other").alias("other"))
-    limit = first.join(least, "s", "left" if remove_exact else "inner").select("s", F.least("first", "other").alias("limit"))
-    return rows.join(limit, "s").where(F.col(ROW_ID) > F.col("limit")).select(ROW_ID)
+        other = first.select(F.col("s").alias("t"), F.col("first").alias("other"))
+        least = both.join(other, "t").groupBy("s").agg(F.min("other").alias("other"))
+        limit = first.join(least, "s", "left" if remove_exact else "inner").select("s", F.least("first", "other").alias("limit"))
+        return rows.join(limit, "s").where(F.col(ROW_ID) > F.col("limit")).select(ROW_ID)
+    first, copies = first_of_copies(rows)
+    least = Workspace(rows.sparkSession).save(_least_partners(first.select(F.col(ROW_ID).alias("id"), "s"), threshold), "least") if threshold < 100 else None
+    gone = copies.select(ROW_ID) if remove_exact else None
+    if least is not None:
+        near = least.where("id > other").select(F.col("id").alias(ROW_ID))
+        if not remove_exact:  # a copy goes if it comes after a partner of its text, or its text has one and isn't new
+            near = near.union(copies.join(least.select(F.col("id").alias("first")), "first").select(ROW_ID))
+        gone = near if gone is None else gone.union(near)
+    return rows.select(ROW_ID).where("false") if gone is None else gone
 
 
 def grams_of(texts: DataFrame, tokenizer: TokenizerSpec, n: int) -> DataFrame:
@@ -177,7 +243,11 @@ def external_fuzzy_removed(rows: DataFrame, external: DataFrame, threshold: floa
     if size["n"] and size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS:
         return _near_a_few(rows, [r["s"] for r in theirs.collect()], threshold, size["least"], size["most"])
     strings = rows.where("s is not null").select("s").distinct()
-    hit = similar_strings(strings, theirs, threshold, same=False).select(F.col("a").alias("s")).distinct()
+    if threshold >= 100:
+        hit = similar_strings(strings, theirs, threshold, same=False).select(F.col("a").alias("s"))
+    else:
+        each = lambda pairs: pa.table({"s": pa.array(sorted({a for (_, a), _, _ in pairs}), pa.string())})
+        hit = _compared(*(t.select(F.lit(0).cast("long").alias("id"), "s") for t in (strings, theirs)), threshold, False, each, "s string").distinct()
     return rows.join(hit, "s", "left_semi").select(ROW_ID)
 
 
@@ -216,7 +286,7 @@ def external_ngram_removed(rows: DataFrame, external: DataFrame, tokenizer: Toke
     @F.arrow_udf("boolean")
     def hit(grams: pa.Array) -> pa.Array:
         found = np.concatenate([[0], np.cumsum(overlap.find(sent.value, grams.flatten().to_numpy())[1])])
-        ends = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.list_value_length(grams), 0).to_numpy()]))
+        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(grams), 0).to_numpy()]))
         return pa.array(found[ends[1:]] > found[ends[:-1]])
 
     return ours.where(hit("grams")).select(ROW_ID)

@@ -67,6 +67,6 @@ def test_matcher(cutoff):
     some = lambda: "".join(rnd.choice("abc\u00e9\U0001f600") for _ in range(rnd.randint(0, 12)))
     for _ in range(40):
         strings = [some() for _ in range(rnd.randint(1, 9))]
-        matcher = similarity.Matcher(strings, cutoff, rows=3, chars=30)
+        matcher = similarity.Matcher(strings, cutoff, chars=30)
         for x in [some() for _ in range(10)]:
             assert matcher.hit(x) == bool(brute([(0, x)], strings, cutoff))
