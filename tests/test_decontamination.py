@@ -70,3 +70,35 @@ def test_matcher(cutoff):
         matcher = similarity.Matcher(strings, cutoff, chars=30)
         for x in [some() for _ in range(10)]:
             assert matcher.hit(x) == bool(brute([(0, x)], strings, cutoff))
+
+
+@pytest.mark.parametrize("cutoff", [95, 86, 80, 73, 66, 50, 0])
+def test_matcher_of_long_texts(cutoff):
+    """Texts that are long enough to be divided into classes of characters, with their exact ratios."""
+    rnd = random.Random(cutoff)
+    edited = lambda x, p: "".join(c if rnd.random() > p else rnd.choice(["", "\u00e9", "zz"]) for c in x)
+    base = ["".join(rnd.choice("abcde\u00e9 fghij\U0001f600") for _ in range(rnd.randint(150, 400))) for _ in range(6)]
+    strings = ["", *base, *(edited(x, p) for x in base for p in (0.02, 0.1, 0.25))]
+    matcher = similarity.Matcher(strings, cutoff, chars=900)
+    for x in [*base[:3], *strings[8::4], ""]:
+        want = {k: 200.0 * lcs(s, x) / (len(s) + len(x)) if s or x else 100.0 for k, s in enumerate(strings)}
+        assert dict(matcher.matches(x)) == pytest.approx({k: v for k, v in want.items() if v >= cutoff})
+
+
+@pytest.mark.parametrize("threshold, exact", [(0, True), (80, True), (80, False), (100, False)])
+def test_fuzzy_removed_whatever_the_blocks(spark, monkeypatch, threshold, exact):
+    docs, items = corpus()
+    docs = [*docs, *((200 + k, x) for k, x in enumerate(items))]
+    texts = {i: t for i, t in docs if t is not None}
+    score = {(i, j): 200.0 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for i, x in texts.items() for j, y in texts.items() if x != y}
+    first = {t: min(i for i, u in texts.items() if u == t) for t in texts.values()}
+    gone = set()
+    for i, x in texts.items():
+        near = [first[texts[j]] for j in texts if score.get((i, j), -1) >= threshold and texts[j] != x]
+        if near and i > min(first[x], *near) or exact and i > first[x]:
+            gone.add(i)
+    rows = spark.createDataFrame(docs, "i long, s string").withColumnRenamed("i", dedup.ROW_ID)
+    for chars in (1 << 19, 300):
+        monkeypatch.setattr(dedup, "BLOCK_CHARS", chars)
+        assert {r[0] for r in dedup.fuzzy_removed(rows, threshold, exact).collect()} == gone
+    assert dedup.fuzzy_removed(rows.where("false"), threshold, exact).count() == 0
