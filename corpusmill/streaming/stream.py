@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.values import free_name
 from ..operators.base import Context
 from ..operators.pipeline import create_processor
+from ..storage import is_folder
 
 #: These need the whole table: the order of rows, or all pairs.
 WHOLE_TABLE = ("deduplicator", "random_sampler", "sample_packer")
@@ -32,10 +33,11 @@ def apply_stream(df: DataFrame, specs: list, context: Context | None = None) ->
 
 
 def read_stream(spark: SparkSession, kind: str, path: str, schema, files_per_batch: int = 100) -> DataFrame:
-    """Files of a folder, or those that match the last part of ``path``, as they arrive."""
+    """Files of a folder, whatever its name, or those that match the last part of ``path``, as they arrive."""
     folder, _, last = path.rstrip("/").rpartition("/")
     reader = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", last).load(folder) if "." in last or "*" in last else reader.load(path)
+    named = "*" in last or "." in last and not is_folder(spark, path)
+    return reader.option("pathGlobFilter", last).load(folder) if named else reader.load(path)
 
 
 def _instants(df: DataFrame, time: str) -> DataFrame:
