@@ -12,12 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.batches import MULTIPLIER, mix, slices, span_hashes, text_bytes, token_counts  # noqa: F401
+from ..functions.batches import BATCH_ROWS, MULTIPLIER, mix, slices, small_batches, span_hashes, text_bytes, token_counts  # noqa: F401
 from ..storage import Workspace, shared_dir  # noqa: F401
 
-#: Rows of an Arrow batch at most: texts are long, and the JVM and the worker hold a batch each.
-BATCH_ROWS = 1000
-
 #: Unicode-free token count: runs of letters or digits, else single symbols.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 
@@ -26,14 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session's Arrow batches are cut to BATCH_ROWS if they are larger."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 # hashing:
 #: ASCII letters and digits and every byte of a non-ASCII character.
 WORD_BYTE = np.zeros(256, bool)

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from ..functions.batches import small_batches
 from ..functions.values import free_name
 from ..storage import Workspace
 from .base import Context, Filter, Passthrough, Processor
@@ -85,7 +86,7 @@ class Pipeline(Processor):
 
 
 class RowFunction(Processor):
-    """A user's dict -> dict or None, in Arrow batches; the result has the columns of ``schema``, by default its input's.
+    """A user's dict -> dict or None, in Arrow batches of BATCH_ROWS; the result has the columns of ``schema``, by default its input's.
 
     A row that fails is treated as the run's error mode says: ``raise`` ends the job,
     ``log_and_continue`` leaves the row out, ``raise_after_k`` does so up to k rows.
@@ -115,7 +116,7 @@ class RowFunction(Processor):
                         out.append({k: got.get(k) for k in names} | {error: None})
                 yield pd.DataFrame(out, columns=[*names, error])
 
-        return df.mapInPandas(run, like.schema.add(error, "string")), error
+        return small_batches(df).mapInPandas(run, like.schema.add(error, "string")), error
 
     def transform(self, df: DataFrame) -> DataFrame:
         tried, error = self.attempt(df)
